@@ -41,16 +41,17 @@ def distributed_rank(df: DataFrame, keys: list[str], order: list[Column], name:
     )
 
 
-def with_next(ranked: DataFrame, keys: list[str], rank: str, columns: list[str]) -> DataFrame:
-    """Adds ``next_<column>`` from the row ranked one later.
+def with_neighbour(ranked: DataFrame, keys: list[str], rank: str, columns: list[str], offset: int,
+                   prefix: str) -> DataFrame:
+    """Adds ``<prefix><column>`` from the row of the same key ranked ``offset`` later (negative: earlier).
 
     An equi-join on (keys, rank): every pair is unique, so no task ever holds a whole group.
     """
-    nxt = ranked.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys], (F.col(rank) - 1).alias("__r"),
-        *[F.col(c).alias(f"next_{c}") for c in columns],
+    other = ranked.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], (F.col(rank) - offset).alias("__r"),
+        *[F.col(c).alias(f"{prefix}{c}") for c in columns],
     )
     on = F.col(rank) == F.col("__r")
     for k in keys:
         on = on & (F.col(k) == F.col(f"__k_{k}"))
-    return ranked.join(nxt, on, "left").drop("__r", *[f"__k_{k}" for k in keys])
+    return ranked.join(other, on, "left").drop("__r", *[f"__k_{k}" for k in keys])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["tables", "rules", "scoring", "measures", "desk"]
+FAMILIES = ["tables", "rules", "scoring", "measures", "desk", "usage", "timeline"]
 
 
 def load():
