@@ -244,7 +244,7 @@ def record_decisions(requests: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def normalise_identity(c: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.lower(F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r\f\v")))
 
 
 def parse_allow_list(text: str | None) -> list[str]:

@@ -64,7 +64,7 @@ def tool_usage(messages: DataFrame) -> DataFrame:
 
 def clean_history(messages: DataFrame) -> DataFrame:
     """Per conversation: kept messages, role of the last kept one, and whether it can be sent."""
-    kept = messages.filter(F.col("role").isin("user", "assistant") & (F.length(F.trim("content")) > 0))
+    kept = messages.filter(F.col("role").isin("user", "assistant") & F.col("content").rlike(r"\S"))
     return kept.groupBy("conversation_id").agg(
         F.count(F.lit(1)).alias("kept"), F.max_by("role", "position").alias("last_role")).withColumn(
         "sendable", F.col("last_role") == "user")

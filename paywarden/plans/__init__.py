@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["tables", "rules", "scoring", "measures", "desk", "usage", "timeline"]
+FAMILIES = ["tables", "rules", "scoring", "measures", "desk", "usage", "timeline", "search", "learning", "quality"]
 
 
 def load():

@@ -63,7 +63,7 @@ def tool_usage(c: Context) -> DataFrame:
 @query("clean_history", """
     SELECT conversation_id, count(*) AS kept, arg_max(role, position) AS last_role,
            arg_max(role, position) = 'user' AS sendable
-    FROM messages WHERE role IN ('user', 'assistant') AND length(trim(content)) > 0 GROUP BY 1""")
+    FROM messages WHERE role IN ('user', 'assistant') AND regexp_matches(content, '\\S') GROUP BY 1""")
 def clean_history(c: Context) -> DataFrame:
     return T.clean_history(c.t.messages())
 
