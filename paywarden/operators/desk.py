@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.functions import rules as R
+from paywarden.operators.joins import salted_join
 from paywarden.operators.ranking import distributed_rank
 
 EXPOSURE, RECOVERY = "improper_payment_exposure_usd", "projected_recovery_if_investigated_usd"
@@ -224,8 +225,10 @@ def record_decisions(requests: DataFrame, positions: DataFrame) -> DataFrame:
     A batch is recorded whole or not at all: it is left out when any of its requests names a payment
     that is not in the queue.
     """
-    known = positions.select("payment_id", "signals")
-    refused = requests.join(known, "payment_id", "left_anti").select("batch_id").distinct()
+    known = positions.select("payment_id", "signals", F.lit(True).alias("known"))
+    looked_up = salted_join(requests, known, "payment_id", "id", requests, "left")
+    refused = looked_up.filter(F.col("known").isNull()).select("batch_id", F.lit(True).alias("refused")).distinct()
+    accepted = salted_join(looked_up, refused, "batch_id", "id", requests, "left").filter(F.col("refused").isNull())
     notes = F.concat(
         F.lit("Examiner-approved "), F.col("action_type"),
         F.when(F.coalesce(F.col("hold_duration_hours"), F.lit(0)) != 0,
@@ -234,7 +237,7 @@ def record_decisions(requests: DataFrame, positions: DataFrame) -> DataFrame:
     audit = F.struct(
         F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.col("requested_by").alias("by"),
         F.lit("approved").alias("action"), notes.alias("notes"), F.lit("execute_case_action").alias("tool"))
-    return requests.join(refused, "batch_id", "left_anti").join(known, "payment_id").select(
+    return accepted.select(
         "id", "payment_id", primary_signal(F.col("signals")).alias("signal_type"), "action_type",
         "hold_duration_hours", "drafted_request", "predicted_recovery_usd", F.lit("approved").alias("status"),
         F.col("requested_by").alias("approved_by"), F.lit("supervisor").alias("reviewed_by_role"),

@@ -63,7 +63,9 @@ def salted_join(big: DataFrame, dim: DataFrame, key: str, spread: str, counted:
     ``spread`` column and only those dimension rows are repeated; everything else joins unsalted.
     """
     hot = heavy_keys(counted, key, **heavy)
-    salt = F.when(F.array_contains(hot, F.col(key)), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    # a NULL key matches nothing, so an outer join may scatter those rows as it likes
+    scattered = F.col(key).isNull() | F.array_contains(hot, F.col(key))
+    salt = F.when(scattered, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = F.when(F.array_contains(hot, F.col(key)), F.sequence(F.lit(0), F.lit(salts - 1)))
     left = big.withColumn("__salt", F.coalesce(salt, F.lit(0)))
     right = dim.withColumn("__salt", F.explode(F.coalesce(copies, F.array(F.lit(0)))))

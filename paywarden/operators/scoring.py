@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paywarden.functions import rules as R
 from paywarden.operators.joins import sized_join, salted_join
+from paywarden.session import work_dir
 from paywarden.sources.tables import SNAPSHOT_DATE, Tables
 
 
@@ -167,6 +168,18 @@ class Scored:
     def __init__(self, tables: Tables):
         self.t = tables
 
+    def stored(self) -> Scored:
+        """The same tables with the queue written once to the shared folder.
+
+        For consumers that read the queue several times: they scan the written table instead of running
+        the joins behind it again.
+        """
+        spark, path = self.t.spark, work_dir(self.t.spark, "queue")
+        self.queue.write.parquet(path)
+        twin = Scored(self.t)
+        twin.__dict__["queue"] = spark.read.schema(self.queue.schema).parquet(path)
+        return twin
+
     @cached_property
     def summary(self) -> DataFrame:
         return signal_summary(self.t.payment_flags(), self.t.signal_classification(), bounded=True)

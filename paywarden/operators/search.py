@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -9,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from paywarden.functions.text import tokens
+from paywarden.session import work_dir
 
 K1, B = 1.2, 0.75
 QUERIES_PER_PASS = 256
@@ -34,9 +36,17 @@ def playbook_content() -> Column:
 # -- text rank ------------------------------------------------------------------------------------
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(document, term, tf); repeated terms of a document are combined on the map side."""
-    return docs.select(F.col(key).alias("doc"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    """(document, term, tf).
+
+    A document is one row, so its terms are counted as runs of its sorted tokens, without a shuffle.
+    """
+    spread = docs.select(F.col(key).alias("doc"), F.array_sort(tokens(F.col(text))).alias("t")).filter(F.size("t") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1),
+                      lambda i: (i == 0) | (F.get(F.col("t"), i) != F.get(F.col("t"), i - 1)))
+    runs = F.transform("starts", lambda p, j: F.struct(
+        F.get(F.col("t"), p).alias("term"),
+        (F.coalesce(F.get(F.col("starts"), j + 1), F.size("t")) - p).cast("bigint").alias("tf")))
+    return spread.withColumn("starts", starts).select("doc", F.inline(runs))
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -54,23 +64,28 @@ def _occurrences(words: str, word: str) -> Column:
 def bm25(docs: DataFrame, key: str, text: str, query: str, k: int = 10) -> DataFrame:
     """Best documents for a query; scores are negative, so the best come first in ascending order.
 
-    Only the query terms matter, so their frequencies are counted inside each row: the texts are never
-    shuffled, the collection statistics are one small aggregate, and the result is a bounded top-k.
+    Only the query terms matter, so their frequencies are counted inside each row and the texts are never
+    shuffled. One pass over the texts writes the documents with a hit (as counts) and observes the
+    collection statistics on the way; scoring reads those counts and keeps a bounded top-k.
     """
     terms = query_terms(query)
     counted = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).select(
         "doc", F.size("t").alias("dl"),
         *[_occurrences("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = counted.agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
+    seen = Observation()
     found = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    scored = counted.filter(found).withColumn("s", stats)
-    length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / (F.col("s.dl") / F.col("s.n")))
+    path = work_dir(docs.sparkSession, "text-hits")
+    counted.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"),
+        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
+    ).filter(found).write.parquet(path)
+    s = seen.get
+    scored = docs.sparkSession.read.schema(counted.schema).parquet(path)
+    length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit((s["dl"] or 0) / max(s["n"], 1) or 1.0))
     total = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"s.df{i}")
-        idf = F.log(1 + (F.col("s.n") - df + 0.5) / (df + 0.5))
+        tf, df = F.col(f"tf{i}"), s[f"df{i}"]
+        idf = math.log(1 + (s["n"] - df + 0.5) / (df + 0.5))
         total = total + idf * tf * (K1 + 1) / (tf + length)
     return scored.select("doc", F.round(-total, 6).alias("score")).orderBy("score", "doc").limit(k)
 
@@ -153,7 +168,10 @@ def ann_index(rows: DataFrame, key: str, vector: str, path: str, tables: int = 6
 
 
 def ann_top_k(spark, path: str, model, key: str, queries: Sequence[tuple[int, Sequence[float]]], k: int = 5) -> DataFrame:
-    """Approximate top-k: only the buckets the queries fall in are read, then scored exactly."""
+    """Approximate top-k: only the buckets the queries fall in are read, then scored exactly.
+
+    A query whose buckets hold fewer than k rows is answered by the exact search over the index.
+    """
     asked = spark.createDataFrame(
         [(int(q), [float(x) for x in _unit(np.asarray([v], dtype=np.float64))[0]]) for q, v in queries],
         "q bigint, u array<double>").select("q", array_to_vector("u").alias("unit"))
@@ -164,7 +182,13 @@ def ann_top_k(spark, path: str, model, key: str, queries: Sequence[tuple[int, Se
     for t in range(tables):
         wanted = wanted | ((F.col("tbl") == t) & F.col("bucket").isin([r["bucket"] for r in hashed if r["tbl"] == t]))
     stored = spark.read.schema("key bigint, embedding array<float>, tbl int, bucket bigint").parquet(path)
-    return vector_top_k(stored.filter(wanted), "key", "embedding", queries, k, copies=tables).withColumnRenamed("key", key)
+    hits = vector_top_k(stored.filter(wanted), "key", "embedding", queries, k, copies=tables)
+    rows = hits.collect()  # at most k rows per query
+    short = [q for q in queries if sum(r["query_id"] == q[0] for r in rows) < k]
+    out = spark.createDataFrame([r for r in rows if r["query_id"] not in {q for q, _ in short}], hits.schema)
+    if short:
+        out = out.unionByName(vector_top_k(stored.filter(F.col("tbl") == 0), "key", "embedding", short, k))
+    return out.withColumnRenamed("key", key)
 
 
 def hashing_encoder(size: int = 64) -> Callable[[DataFrame], DataFrame]:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paywarden.operators.joins import sized_join
+from paywarden.operators.joins import fits_broadcast, sized_join
 
 SPEND = "decimal(18,2)"
 # Products in scope of the governance report.
@@ -64,9 +64,10 @@ def usd_prices(list_prices: DataFrame, path: str = "$.effective_list.default") -
         F.try_variant_get("pricing", path, "decimal(38,18)").alias("unit_price_usd"))
 
 
-def _price_join(usage: DataFrame, prices: DataFrame, valid: Column) -> DataFrame:
+def _price_join(usage: DataFrame, prices: DataFrame, valid: Column, **size) -> DataFrame:
     """Few SKUs carry most usage, so the price side is broadcast while small and salted otherwise."""
-    return sized_join(usage, prices, ["sku_name", "usage_unit"], "left", residual=valid, spread=F.xxhash64("usage_id"))
+    return sized_join(usage, prices, ["sku_name", "usage_unit"], "left", residual=valid, spread=F.xxhash64("usage_id"),
+                      **size)
 
 
 def price_half_open(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -76,10 +77,10 @@ def price_half_open(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return _price_join(usage, prices, (t >= F.col("price_start_time")) & (end.isNull() | (t < end)))
 
 
-def price_closed(usage: DataFrame, prices: DataFrame, as_of: dt.date) -> DataFrame:
+def price_closed(usage: DataFrame, prices: DataFrame, as_of: dt.date, **size) -> DataFrame:
     """start <= t <= end; a usage instant on a shared boundary matches both intervals."""
     until = F.coalesce(F.col("price_end_time"), F.date_add(F.lit(as_of), 1).cast("timestamp_ntz"))
-    return _price_join(usage, prices, F.col("usage_end_time").between(F.col("price_start_time"), until))
+    return _price_join(usage, prices, F.col("usage_end_time").between(F.col("price_start_time"), until), **size)
 
 
 def cost() -> Column:
@@ -157,19 +158,33 @@ def discount_table(spark, text: str) -> DataFrame:
     return spark.range(1).select(F.inline(parsed_pairs(F.lit(text))))
 
 
+def _discount_joins(usage: DataFrame, discounts: DataFrame) -> DataFrame:
+    """The OR as two disjoint equi-joins plus the rows neither finds, for a discount table of any size."""
+    d = discounts.select(F.col("product").alias("discount_product"), "discount")
+    keys = d.select("discount_product").distinct()
+    sku, product, found = F.col("sku_name"), F.col("billing_origin_product"), F.col("discount_product")
+    by_sku = usage.join(d, found == sku)
+    by_product = usage.join(d, (found == product) & ~product.eqNullSafe(sku))
+    neither = usage.join(keys, found == sku, "left_anti").join(keys, found == product, "left_anti")
+    return by_sku.unionByName(by_product).unionByName(neither, allowMissingColumns=True)
+
+
 def with_discounts(usage: DataFrame, discounts: DataFrame, bounded: bool = False) -> DataFrame:
     """Usage ⟕ discounts on product = SKU or product = billing product.
 
-    The OR is answered by two hash lookups in a discount table grouped by key; the union of the two
-    entry lists names a discount row once even when it fits both ways. Usage without any entry stays.
+    While the discounts fit a broadcast, the OR is two hash lookups in a table grouped by key; the union
+    of the two entry lists names a discount row once even when it fits both ways. Larger tables take two
+    disjoint joins. Usage without any entry stays.
     """
+    if not bounded and not fits_broadcast(discounts):
+        return _discount_joins(usage, discounts)
     entry = F.struct("order_id", "product", "discount")
     keyed = discounts.groupBy(F.col("product").alias("k")).agg(F.collect_set(entry).alias("found"))
     by_sku = keyed.select(F.col("k").alias("sku_name"), F.col("found").alias("by_sku"))
     by_product = keyed.select(F.col("k").alias("billing_origin_product"), F.col("found").alias("by_product"))
     spread = F.xxhash64("usage_id")
-    both = sized_join(usage, by_sku, ["sku_name"], "left", spread=spread, bounded=bounded)
-    both = sized_join(both, by_product, ["billing_origin_product"], "left", spread=spread, bounded=bounded)
+    both = sized_join(usage, by_sku, ["sku_name"], "left", spread=spread, bounded=True)
+    both = sized_join(both, by_product, ["billing_origin_product"], "left", spread=spread, bounded=True)
     none = F.array().cast("array<struct<order_id:int,product:string,discount:decimal(10,3)>>")
     hits = F.array_union(F.coalesce("by_sku", none), F.coalesce("by_product", none))
     return both.select(*usage.columns, F.explode_outer(hits).alias("d")).select(

@@ -63,6 +63,7 @@ def acted_distinct(c: Context) -> DataFrame:
     FROM flag_mirror w LEFT JOIN live_queue l ON w.payment_id = l.payment_id WHERE w.payment_id = {MEMO_ID}""")
 def flag_enrichment(c: Context) -> DataFrame:
     """The worst open flag, then a named one."""
+    c = c.with_stored_queue()
     return K.flag_enrichment(c.desk.flags, c.desk.live).unionByName(
         K.flag_enrichment(c.desk.flags, c.desk.live, MEMO_ID))
 
@@ -219,6 +220,7 @@ def role_assign(c: Context) -> DataFrame:
     FROM requests r JOIN positions p ON r.payment_id = p.payment_id
     WHERE r.batch_id NOT IN (SELECT batch_id FROM refused)""")
 def record_decisions(c: Context) -> DataFrame:
+    c = c.with_stored_queue()
     requests = c.desk.actions.filter(F.col("approved_by").isNotNull()).select(
         "id", "payment_id", "action_type", "hold_duration_hours", "drafted_request", "predicted_recovery_usd",
         F.col("approved_by").alias("requested_by"), F.col("created_at").alias("requested_at"),

@@ -173,6 +173,7 @@ def program_signal_counts_text(c: Context) -> DataFrame:
 @query("result_parity", "SELECT 0 AS only_left, 0 AS only_right, count(*) AS n_rows FROM (" + SIGNAL_COUNTS + ")")
 def result_parity(c: Context) -> DataFrame:
     """Both query paths return the same rows; one pass per path, compared per row as a signed count."""
+    c = c.with_stored_queue()
     left, right = M.program_signal_counts(c.s.queue), M.program_signal_counts_text(c.desk.positions)
     return parity(left, right)
 

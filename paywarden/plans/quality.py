@@ -90,6 +90,7 @@ msg AS (SELECT count(*) AS n FROM (SELECT 1 FROM messages GROUP BY conversation_
 
 @query("quality_checks", SQL)
 def quality_checks(c: Context) -> DataFrame:
+    c = c.with_stored_queue()
     queue = c.s.queue
     missing = Q.missing_columns({"queue": queue, "recs": c.s.recs, "actions": c.desk.actions}, REQUIRED)
     present_row = c.t.payments().limit(1).select(

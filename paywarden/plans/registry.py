@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from paywarden.functions.present import present
+from paywarden.operators.desk import Desk
 from paywarden.operators.scoring import Scored
 from paywarden.plans import twin
 from paywarden.sources.tables import Tables
@@ -25,10 +26,15 @@ class Context:
         return Scored(self.t)
 
     @cached_property
-    def desk(self):
-        from paywarden.operators.desk import Desk
+    def desk(self) -> Desk:
         return Desk(self.t, self.s)
 
+    def with_stored_queue(self) -> Context:
+        """For queries that use the queue more than once."""
+        other = Context(self.spark, self.t.path)
+        other.__dict__["s"] = self.s.stored()
+        return other
+
 
 @dataclass(frozen=True)
 class Entry:

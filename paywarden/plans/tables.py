@@ -61,10 +61,7 @@ def typed_rows(c: Context) -> DataFrame:
         F.date_format("queue_date", "yyyy-MM-dd").alias("queue_date"),
         F.col("payment_amount_usd").cast("string").alias("payment_amount_usd"),
         (F.col("beneficiary_id") % 2 == 0).cast("string").alias("even"))
-    return text.to(c.spark.createDataFrame([], "payment_id string, queue_date string, payment_amount_usd string, "
-                                               "even string").schema).select(
-        F.col("payment_id").cast("bigint"), F.to_date("queue_date", "yyyy-MM-dd").alias("queue_date"),
-        F.col("payment_amount_usd").cast("decimal(18,2)"), F.col("even").cast("boolean"))
+    return sinks.typed(text, "payment_id bigint, queue_date date, payment_amount_usd decimal(18,2), even boolean")
 
 
 @query("clustered_table", f"""
@@ -123,6 +120,7 @@ def mirror_dispo_recs(c: Context) -> DataFrame:
            {dbl(K.EXPOSURE)} FROM flag_mirror""")
 def insert_if_absent(c: Context) -> DataFrame:
     """A mirror that already holds every third payment keeps those rows and gains the others."""
+    c = c.with_stored_queue()
     incoming = c.desk.flags.select("payment_id", "risk_level", K.EXPOSURE)
     stored = incoming.filter(F.col("payment_id") % 3 == 0).withColumn("risk_level", F.lit("stored"))
     return sinks.insert_if_absent(stored, incoming, "payment_id")

@@ -142,14 +142,12 @@ def cdc_change_counts(c: Context) -> DataFrame:
            count(*) FILTER (WHERE recommended_disposition = 'refer_to_investigation') AS refer_recommended_count
     FROM scored s WHERE payment_id NOT IN (SELECT payment_id FROM case_actions)""")
 def queue_live_refresh(c: Context) -> DataFrame:
+    c = c.with_stored_queue()
     actions, log = c.t.case_actions().drop("audit_trail"), work_dir(c.spark, "decisions")
     actions.repartition(4, "id").write.parquet(log)
-    stored = work_dir(c.spark, "queue")
     queue = c.s.scored.select("payment_id", K.EXPOSURE, K.RECOVERY, "recommended_disposition")
-    queue.write.parquet(stored)
     return feeds.stream_queue_kpis(
-        c.spark, log, actions.schema, c.spark.read.schema(queue.schema).parquet(stored), work_dir(c.spark, "kpis"),
-        work_dir(c.spark, "kpis-state"), 2)
+        c.spark, log, actions.schema, queue, work_dir(c.spark, "kpis"), work_dir(c.spark, "kpis-state"), 2)
 
 
 @query("flag_ingest_dedup", f"SELECT payment_id, n_signals, {arr('signal_list')}, has_strong_signal FROM summary")

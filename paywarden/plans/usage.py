@@ -41,6 +41,21 @@ def price_join_closed(c: Context) -> DataFrame:
         "usage_id", "billing_origin_product", "unit_price_usd", U.cost().alias("cost_usd"))
 
 
+@query("broadcast_hint", f"""
+    WITH per AS (SELECT sku_name, count(*) AS n, CAST({COST} AS DOUBLE) AS cost_usd FROM priced_closed GROUP BY 1)
+    SELECT 'broadcast' AS side, * FROM per UNION ALL SELECT 'salted', * FROM per""")
+def broadcast_hint(c: Context) -> DataFrame:
+    """The price join with the price side broadcast, and the way taken when it is too large for that."""
+    out = None
+    for side, limit in (("broadcast", 1000), ("salted", 0)):
+        priced = U.price_closed(c.t.usage(), prices(c), USAGE_AS_OF, max_rows=limit, salts=8)
+        one = priced.groupBy("sku_name").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(U.cost(), F.lit(0).cast("decimal(18,2)"))).alias("cost_usd"))
+        one = one.select(F.lit(side).alias("side"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 DISCOUNT_ROWS = """d(product, discount) AS (VALUES ('APPS', 0.1), ('VIEW', 0.2), ('CLICK', NULL), ('MODEL_SERVING', 0.3),
     ('VIEW', 0.05))"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_counted(df: DataFrame, path: str, **options) -> int:
@@ -39,7 +40,11 @@ def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:
 
 
 def publish_snapshot(df: DataFrame, path: str, key: str) -> int:
-    """Full-snapshot copy keyed by ``key``; refuses to publish a table whose key is not unique."""
+    """Full-snapshot copy keyed by ``key``.
+
+    The key is checked on the written copy, which reads one column instead of running the plan again;
+    a repeated key raises, so the caller never points readers at that folder.
+    """
     rows = write_counted(df, path)
     spark = df.sparkSession
     published = spark.read.schema(df.schema).parquet(path)
@@ -48,6 +53,13 @@ def publish_snapshot(df: DataFrame, path: str, key: str) -> int:
     return rows
 
 
+def typed(rows: DataFrame, ddl: str) -> DataFrame:
+    """Text columns as the types of a DDL schema; ISO text becomes a date."""
+    return rows.select(*[
+        (F.to_date(f.name, "yyyy-MM-dd") if f.dataType == T.DateType() else F.col(f.name).cast(f.dataType)).alias(f.name)
+        for f in T.StructType.fromDDL(ddl).fields])
+
+
 def optional_table(spark: SparkSession, name: str, schema) -> DataFrame:
     """The named table, or an empty relation of the expected schema when it has not been built yet."""
     if spark.catalog.tableExists(name):
