@@ -76,7 +76,7 @@ def ranked_options(recs: DataFrame) -> DataFrame:
     keyed = F.transform("action_ranking", lambda o: F.struct(
         (-o["predicted_net_value_usd"]).alias("k"), o["hold_hours"].alias("h"), o.alias("o")))
     return recs.select(
-        "payment_id", "recommended_disposition", F.posexplode(F.array_sort(keyed)).alias("pos", "x"),
+        "payment_id", "recommended_disposition", F.posexplode(F.sort_array(keyed)).alias("pos", "x"),
     ).select("payment_id", "recommended_disposition", "x.o.*", (F.col("pos") + 1).alias("net_rank"))
 
 

@@ -45,7 +45,7 @@ def signal_summary(flags: DataFrame, classification: DataFrame, bounded: bool =
             F.col("e.signal").alias("signal_list"),
             F.col("e.n_rows").alias("signal_rows"),
             F.col("e.category").alias("signal_categories"),
-            F.array_sort(F.array_distinct("e.category")).alias("signal_category_set"),
+            F.sort_array(F.array_distinct("e.category")).alias("signal_category_set"),
             "ai_classification_min_confidence",
             F.col("e.strength").alias("signal_strengths"),
             "has_strong_signal",

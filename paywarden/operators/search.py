@@ -40,7 +40,7 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     A document is one row, so its terms are counted as runs of its sorted tokens, without a shuffle.
     """
-    spread = docs.select(F.col(key).alias("doc"), F.array_sort(tokens(F.col(text))).alias("t")).filter(F.size("t") > 0)
+    spread = docs.select(F.col(key).alias("doc"), F.sort_array(tokens(F.col(text))).alias("t")).filter(F.size("t") > 0)
     starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1),
                       lambda i: (i == 0) | (F.get(F.col("t"), i) != F.get(F.col("t"), i - 1)))
     runs = F.transform("starts", lambda p, j: F.struct(
@@ -49,8 +49,18 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return spread.withColumn("starts", starts).select("doc", F.inline(runs))
 
 
-def term_statistics(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def term_statistics(docs: DataFrame, text: str) -> DataFrame:
+    """Documents and occurrences per term.
+
+    Every document yields its tokens and its distinct tokens, so one aggregation on the term, combined
+    on the map side, gives both figures; (document, term) pairs are never shuffled.
+    """
+    t = docs.select(tokens(F.col(text)).alias("t"))
+    both = t.select(F.inline(F.array(
+        F.struct(F.col("t").alias("w"), F.lit(0).alias("once")),
+        F.struct(F.array_distinct("t").alias("w"), F.lit(1).alias("once")))))
+    return both.select("once", F.explode("w").alias("term")).groupBy("term").agg(
+        F.sum("once").alias("df"), F.sum(1 - F.col("once")).alias("cf"))
 
 
 def query_terms(text: str) -> list[str]:

@@ -142,7 +142,7 @@ def parsed_pairs(text: Column) -> Column:
     The text is upper-cased and stripped of white space. Pairs are numbered in sorted order before
     those without '=' are dropped; a value that is no decimal gives a NULL discount.
     """
-    pairs = F.array_sort(F.split(F.regexp_replace(F.upper(text), r"\s+", ""), ";"))
+    pairs = F.sort_array(F.split(F.regexp_replace(F.upper(text), r"\s+", ""), ";"))
     numbered = F.transform(pairs, lambda p, i: F.struct(
         (i + 1).alias("order_id"), F.get(F.split(p, "="), F.lit(0)).alias("product"),
         F.get(F.split(p, "="), F.lit(1)).try_cast("decimal(10,3)").alias("discount"), p.alias("combination")))

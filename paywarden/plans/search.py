@@ -54,7 +54,14 @@ def bm25_search(c: Context) -> DataFrame:
     WITH {TOKENS}, words AS (SELECT doc_id, unnest(t) AS term FROM toks)
     SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM words GROUP BY term""")
 def token_index(c: Context) -> DataFrame:
-    return S.term_statistics(S.postings(c.t.english_documents(), "doc_id", "text"))
+    return S.term_statistics(c.t.english_documents(), "text")
+
+
+@query("token_postings", f"""
+    WITH {TOKENS}, words AS (SELECT doc_id AS doc, unnest(t) AS term FROM toks)
+    SELECT doc, term, count(*) AS tf FROM words GROUP BY 1, 2""")
+def token_postings(c: Context) -> DataFrame:
+    return S.postings(c.t.english_documents(), "doc_id", "text")
 
 
 @query("vector_top_k", f"""

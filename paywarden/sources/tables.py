@@ -42,15 +42,19 @@ CATEGORY = {
 TOOLS = ["find_flag", "rank_dispositions", "ask_data"]
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
+
+
 def mapped(c: Column, mapping: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for key, value in reversed(mapping.items()):
-        out = F.when(c == key, value).otherwise(out)
-    return out
+    """The value a literal map holds for the column, NULL when it holds none."""
+    entries = ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in mapping.items())
+    return F.try_element_at(F.expr(f"map({entries})"), c)
 
 
 def pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    """Zero-based choice from a literal list."""
+    return F.get(F.expr(f"array({', '.join(map(_quoted, values))})"), index.cast("int"))
 
 
 class Tables:
