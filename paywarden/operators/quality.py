@@ -139,8 +139,9 @@ def reference_checks(actions: DataFrame, positions: DataFrame, claims: DataFrame
     lost = claimed.join(beneficiaries.select("beneficiary_id"), "beneficiary_id", "left_anti").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     repeated = messages.groupBy("conversation_id", "position").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    reused = claims.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     zero = F.col("n") == 0
-    return report(unknown, {"decision_references_payment": (F.col("n"), zero)}).unionByName(
+    return _counted(reused, "claim_ids_unique", lambda n: n == 0).unionByName(report(unknown, {"decision_references_payment": (F.col("n"), zero)})).unionByName(
         report(lost, {"claims_without_beneficiary": (F.col("n"), F.col("n") > 0)})).unionByName(
         _counted(repeated, "message_positions_unique", lambda n: n == 0))
 

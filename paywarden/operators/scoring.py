@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.functions import rules as R
-from paywarden.operators.joins import sized_join, salted_join
+from paywarden.operators.joins import salted_join, sized_join
 from paywarden.session import work_dir
-from paywarden.sources.tables import SNAPSHOT_DATE, Tables
+from paywarden.sources.tables import SNAPSHOT_DATE, Tables, quoted
 
 
 def classify_flags(flags: DataFrame, classification: DataFrame, bounded: bool = False) -> DataFrame:
@@ -21,55 +21,98 @@ def classify_flags(flags: DataFrame, classification: DataFrame, bounded: bool =
         "signal_category", F.coalesce("signal_category", F.lit("unclassified")))
 
 
-def signal_summary(flags: DataFrame, classification: DataFrame, bounded: bool = False) -> DataFrame:
+VOCABULARY_LIMIT = 64
+
+
+def signal_vocabulary(flags: DataFrame) -> list[str] | None:
+    """The distinct signals when there are few (a bounded look), else None. Runs one job over one column."""
+    found = flags.filter(F.col("signal").isNotNull()).select("signal").distinct().limit(VOCABULARY_LIMIT + 1).collect()
+    return sorted(r[0] for r in found) if len(found) <= VOCABULARY_LIMIT else None
+
+
+def signal_summary(flags: DataFrame, classification: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
     """One row per flagged payment.
 
-    Two aggregations: first per (payment, signal), which collapses repeated matches on the map side,
-    then per payment over at most one entry per signal of the vocabulary. ``n_signals`` counts every
-    flag row; each list names a signal once, in sorted order, with its row count in ``signal_rows``.
+    ``n_signals`` counts every flag row; each list names a signal once, in sorted order, with its row
+    count in ``signal_rows``. ``vocabulary`` holds every signal that can occur; it is looked up when not
+    given. With few signals the summary is one hash aggregate of counters, combined on the map side, so
+    a payment with very many flag rows is one row per task; the lists are then built inside the row.
     """
+    words = sorted(vocabulary) if vocabulary is not None else signal_vocabulary(flags)
+    if not words:
+        return _summary_by_pairs(flags, classification)
+    names = [quoted(w) for w in words]
+    counts = flags.groupBy("payment_id").agg(
+        F.count(F.lit(1)).alias("n_signals"),
+        F.max(R.is_strong(F.col("signal"))).alias("has_strong_signal"),
+        F.count_if(F.col("signal").isNull()).alias("unnamed"),
+        *[F.expr(f"count_if(signal = {w}) AS c{i}") for i, w in enumerate(names)])
+    label = classification.filter(F.col("signal").isin(words)).groupBy("signal").agg(
+        F.min("signal_category").alias("category"), F.min("classification_confidence").alias("confidence"))
+    labels = label.agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("category", "confidence"))))).scalar()
+
+    strength = ["strong" if w in R.STRONG else "moderate" if w in R.MODERATE else "weak" for w in words]
+    entries = ", ".join(
+        f"if(c{i} > 0, named_struct('signal', {w}, 'n', c{i}, 'category', coalesce(try_element_at(labels, {w}).category, "
+        f"'unclassified'), 'confidence', try_element_at(labels, {w}).confidence, 'strength', '{strength[i]}'), NULL)"
+        for i, w in enumerate(names))
+    # a flag without a signal counts, and is an unclassified weak entry
+    return counts.withColumn("labels", labels).withColumn("e", F.expr(f"array_compact(array({entries}))")).select(
+        "payment_id", "n_signals", F.col("e.signal").alias("signal_list"), F.col("e.n").alias("signal_rows"),
+        F.expr("if(unnamed > 0, array_append(e.category, 'unclassified'), e.category) AS signal_categories"),
+        F.expr("if(unnamed > 0, array_append(e.strength, 'weak'), e.strength) AS signal_strengths"),
+        F.array_min("e.confidence").alias("ai_classification_min_confidence"), "has_strong_signal",
+    ).select(
+        "payment_id", "n_signals", "signal_list", "signal_rows", "signal_categories",
+        F.sort_array(F.array_distinct("signal_categories")).alias("signal_category_set"),
+        "ai_classification_min_confidence", "signal_strengths", "has_strong_signal")
+
+
+def _summary_by_pairs(flags: DataFrame, classification: DataFrame) -> DataFrame:
+    """The summary for an open vocabulary: first per (payment, signal), then per payment."""
     pairs = flags.groupBy("payment_id", "signal").agg(F.count(F.lit(1)).alias("n_rows"))
-    labelled = classify_flags(pairs, classification, bounded)
-    strength = R.signal_strength(F.col("signal"))
+    labelled = classify_flags(pairs, classification)
     entry = F.struct(
-        F.col("signal"), F.col("n_rows"), F.col("signal_category").alias("category"), strength.alias("strength"),
-    )
-    return (
-        labelled.groupBy("payment_id").agg(
-            F.sum("n_rows").alias("n_signals"),
-            F.sort_array(F.collect_list(entry)).alias("e"),
-            F.min("classification_confidence").alias("ai_classification_min_confidence"),
-            F.max(R.is_strong(F.col("signal"))).alias("has_strong_signal"),
-        ).select(
-            "payment_id", "n_signals",
-            F.col("e.signal").alias("signal_list"),
-            F.col("e.n_rows").alias("signal_rows"),
-            F.col("e.category").alias("signal_categories"),
-            F.sort_array(F.array_distinct("e.category")).alias("signal_category_set"),
-            "ai_classification_min_confidence",
-            F.col("e.strength").alias("signal_strengths"),
-            "has_strong_signal",
-        )
-    )
-
-
-def payments_flagged(payments: DataFrame, beneficiaries: DataFrame, claims: DataFrame, summary: DataFrame) -> DataFrame:
-    """Current status of every flagged payment.
+        F.col("signal").isNull().alias("last"), F.col("signal"), F.col("n_rows"),
+        F.col("signal_category").alias("category"), R.signal_strength(F.col("signal")).alias("strength"))
+    named = F.filter("e", lambda x: x["signal"].isNotNull())
+    return labelled.groupBy("payment_id").agg(
+        F.sum("n_rows").alias("n_signals"), F.sort_array(F.collect_list(entry)).alias("e"),
+        F.min("classification_confidence").alias("ai_classification_min_confidence"),
+        F.max(R.is_strong(F.col("signal"))).alias("has_strong_signal"),
+    ).select(
+        "payment_id", "n_signals", F.transform(named, lambda x: x["signal"]).alias("signal_list"),
+        F.transform(named, lambda x: x["n_rows"]).alias("signal_rows"), F.col("e.category").alias("signal_categories"),
+        F.sort_array(F.array_distinct("e.category")).alias("signal_category_set"), "ai_classification_min_confidence",
+        F.col("e.strength").alias("signal_strengths"), "has_strong_signal")
+
+
+def payments_scored(payments: DataFrame, beneficiaries: DataFrame, summary: DataFrame) -> DataFrame:
+    """Flagged payments with beneficiary, signals and risk level.
 
     The summary join comes first: it is inner, one row per payment on both sides, and leaves only
-    flagged rows for the wider joins. Payments repeat beneficiaries, so that join salts heavy keys.
+    flagged rows for the next join. Payments repeat beneficiaries, so that join salts heavy keys.
     """
     flagged = payments.join(summary, "payment_id")
     people = beneficiaries.select("beneficiary_id", "program", "state")
     known = salted_join(flagged, people, "beneficiary_id", "payment_id", payments)
-    return known.join(claims.select("claim_id", "claim_type"), "claim_id", "left").select(
+    return known.select(
         "payment_id", "beneficiary_id", "claim_id", "program", "state", "payment_amount_usd", "queue_date",
-        "payment_status", "claim_type", "n_signals", "signal_list", "signal_categories", "signal_category_set",
+        "payment_status", "n_signals", "signal_list", "signal_categories", "signal_category_set",
         "ai_classification_min_confidence", "signal_strengths",
         R.risk_level(F.col("n_signals"), F.col("has_strong_signal")).alias("risk_level"),
     )
 
 
+def payments_flagged(payments: DataFrame, beneficiaries: DataFrame, claims: DataFrame, summary: DataFrame) -> DataFrame:
+    """Current status of every flagged payment, with its claim type."""
+    return payments_scored(payments, beneficiaries, summary).join(
+        claims.select("claim_id", "claim_type"), "claim_id", "left").select(
+        "payment_id", "beneficiary_id", "claim_id", "program", "state", "payment_amount_usd", "queue_date",
+        "payment_status", "claim_type", "n_signals", "signal_list", "signal_categories", "signal_category_set",
+        "ai_classification_min_confidence", "signal_strengths", "risk_level")
+
+
 def disposition_outcomes(outcomes: DataFrame, beneficiaries: DataFrame) -> DataFrame:
     people = beneficiaries.select("beneficiary_id", "program", "state")
     return salted_join(outcomes, people, "beneficiary_id", "case_id", outcomes, "left").select(
@@ -182,19 +225,28 @@ class Scored:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return signal_summary(self.t.payment_flags(), self.t.signal_classification(), bounded=True)
+        return signal_summary(self.t.payment_flags(), self.t.signal_classification(), R.SIGNALS)
 
     @cached_property
     def silver(self) -> DataFrame:
         return payments_flagged(self.t.payments(), self.t.beneficiaries(), self.t.claims(), self.summary)
 
+    @cached_property
+    def flagged(self) -> DataFrame:
+        """Silver rows without the claim type.
+
+        The queue needs nothing from the claims and a claim id names at most one claim (the quality
+        report checks that), so it is built without that join.
+        """
+        return payments_scored(self.t.payments(), self.t.beneficiaries(), self.summary)
+
     @cached_property
     def silver_outcomes(self) -> DataFrame:
         return disposition_outcomes(self.t.outcomes(), self.t.beneficiaries())
 
     @cached_property
     def queue(self) -> DataFrame:
-        return open_queue(self.silver)
+        return open_queue(self.flagged)
 
     @cached_property
     def recs(self) -> DataFrame:

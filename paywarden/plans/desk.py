@@ -77,7 +77,7 @@ def flag_enrichment(c: Context) -> DataFrame:
     FROM live_queue l LEFT JOIN case_actions a ON a.payment_id = l.payment_id WHERE l.payment_id = {MEMO_ID}""")
 def payment_detail(c: Context) -> DataFrame:
     detail = K.payment_detail(c.desk.live, c.desk.actions, MEMO_ID)
-    return detail.withColumn("audited", F.col("audit") != "[]").drop("audit")
+    return detail.withColumn("audited", F.coalesce(F.col("audit") != "[]", F.lit(False))).drop("audit")
 
 
 @query("latest_vs_recommended", """

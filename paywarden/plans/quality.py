@@ -62,6 +62,7 @@ mir AS (SELECT pos.n, pos.k, gold.n = pos.n AND gold.n = flg.n AND gold.n > 0 AS
 orph AS (SELECT count(*) AS n FROM positions WHERE payment_id NOT IN (SELECT payment_id FROM rec_mirror)),
 unk AS (SELECT count(*) AS n FROM case_actions WHERE payment_id NOT IN (SELECT payment_id FROM positions)),
 lost AS (SELECT count(*) AS n FROM claims WHERE beneficiary_id NOT IN (SELECT beneficiary_id FROM beneficiaries)),
+clm AS (SELECT count(*) AS n FROM (SELECT 1 FROM claims GROUP BY claim_id HAVING count(*) > 1)),
 msg AS (SELECT count(*) AS n FROM (SELECT 1 FROM messages GROUP BY conversation_id, position HAVING count(*) > 1))
 """ + " UNION ALL ".join([
     _row("known_payment", "known", "known = 1", "qs"),
@@ -84,6 +85,7 @@ msg AS (SELECT count(*) AS n FROM (SELECT 1 FROM messages GROUP BY conversation_
     _row("decision_references_payment", "n", "n = 0", "unk"),
     _row("claims_without_beneficiary", "n", "n > 0", "lost"),
     _row("message_positions_unique", "n", "n = 0", "msg"),
+    _row("claim_ids_unique", "n", "n = 0", "clm"),
     _row("required_columns", "0", "true", "qs"),
 ])
 

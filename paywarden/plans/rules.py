@@ -78,7 +78,7 @@ def recovery_outcome(c: Context) -> DataFrame:
     SELECT payment_id, {txt('queue_date')} FROM silver WHERE queue_date <= DATE '2000-01-01'""")
 def snapshot_filter(c: Context) -> DataFrame:
     from paywarden.operators.scoring import open_queue
-    return open_queue(c.s.silver, dt.date(2000, 1, 1)).select("payment_id", "queue_date")
+    return open_queue(c.s.flagged, dt.date(2000, 1, 1)).select("payment_id", "queue_date")
 
 
 @query("reasoning_text", "SELECT payment_id, reasoning FROM recs")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paywarden.functions import rules as R
 from paywarden.operators import changes
 from paywarden.operators import desk as K
 from paywarden.operators import scoring
@@ -82,17 +83,18 @@ CURRENT = """SELECT id, status, action_type, strftime(_timestamp, '%Y-%m-%d %H:%
           WHERE _pg_change_type <> 'update_preimage') WHERE rn = 1 AND _pg_change_type <> 'delete'"""
 
 
-def feed(c: Context) -> DataFrame:
-    return changes.change_feed(c.t.decision_events())
-
-
 def feed_files(c: Context) -> tuple[str, object]:
     """The feed as files whose order says nothing about the order of the changes."""
-    rows, path = feed(c), work_dir(c.spark, "change-feed")
+    rows, path = changes.change_feed(c.t.decision_events()), work_dir(c.spark, "change-feed")
     rows.repartition(6, F.xxhash64("_sort_by")).write.parquet(path)
     return path, rows.schema
 
 
+def feed(c: Context) -> DataFrame:
+    path, schema = feed_files(c)
+    return c.spark.read.schema(schema).parquet(path)
+
+
 @query("cdc_apply_latest", CURRENT)
 def cdc_apply_latest(c: Context) -> DataFrame:
     return changes.apply_latest(feed(c))
@@ -156,5 +158,5 @@ def flag_ingest_dedup(c: Context) -> DataFrame:
     raw.repartition(4).write.parquet(path)
     pairs = feeds.stream_flag_pairs(c.spark, path, raw.schema, work_dir(c.spark, "pairs"),
                                     work_dir(c.spark, "pairs-state"), files_per_trigger=2)
-    return scoring.signal_summary(pairs, c.t.signal_classification(), bounded=True).select(
+    return scoring.signal_summary(pairs, c.t.signal_classification(), R.SIGNALS).select(
         "payment_id", "n_signals", "signal_list", "has_strong_signal")

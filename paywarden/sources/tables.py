@@ -42,19 +42,20 @@ CATEGORY = {
 TOOLS = ["find_flag", "rank_dispositions", "ask_data"]
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "\\'") + "'"
+def quoted(text: str) -> str:
+    """Text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def mapped(c: Column, mapping: dict[str, str]) -> Column:
     """The value a literal map holds for the column, NULL when it holds none."""
-    entries = ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in mapping.items())
+    entries = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in mapping.items())
     return F.try_element_at(F.expr(f"map({entries})"), c)
 
 
 def pick(values: list[str], index: Column) -> Column:
     """Zero-based choice from a literal list."""
-    return F.get(F.expr(f"array({', '.join(map(_quoted, values))})"), index.cast("int"))
+    return F.get(F.expr(f"array({', '.join(map(quoted, values))})"), index.cast("int"))
 
 
 class Tables:

@@ -123,3 +123,17 @@ def test_age_label(spark):
                      "timestamp_ntz'2023-12-30 23:00:00')) at")
     assert [r[0] for r in rows.select(X.age_label(F.col("at"), F.col("now"))).collect()] == [
         "just now", "45m ago", "3h ago", "2d ago"]
+
+
+def test_open_vocabulary_gives_the_same_summary(spark):
+    rows = [(1, "income_mismatch"), (1, "income_mismatch"), (1, "deceased_payee"), (2, None), (2, "unheard_of"), (3, None)]
+    flags = spark.createDataFrame(rows, "payment_id long, signal string")
+    labels = spark.createDataFrame([("income_mismatch", "eligibility", 0.9, None), ("deceased_payee", "fraud", 0.4, None)],
+                                   "signal string, signal_category string, classification_confidence double, "
+                                   "classification_error string")
+    counted, paired = S.signal_summary(flags, labels), S._summary_by_pairs(flags, labels)
+    assert sorted(map(repr, counted.collect())) == sorted(map(repr, paired.select(*counted.columns).collect()))
+    got = {r.payment_id: r for r in counted.collect()}
+    assert got[1].n_signals == 3 and got[1].signal_rows == [1, 2] and got[1].ai_classification_min_confidence == 0.4
+    assert got[2].signal_list == ["unheard_of"] and got[2].signal_categories == ["unclassified", "unclassified"]
+    assert got[3].signal_list == [] and got[3].signal_strengths == ["weak"]

@@ -77,6 +77,8 @@ def test_a_batch_is_recorded_whole_or_not_at_all(spark):
     pos = spark.createDataFrame([(10, "a, b"), (11, "")], "payment_id long, signals string")
     got = K.record_decisions(req, pos).collect()
     assert [(r.id, r.signal_type, r.audit_trail[0].notes) for r in got] == [(3, "unspecified", "Examiner-approved release.")]
+    assert K.record_decisions(req, pos, "LEAD ").count() == 1
+    assert K.record_decisions(req, pos, "other").count() == 0
 
 
 def test_parity_counts_multiplicity(spark):
