@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 SALTS = 64
+HEAVY_SHARE = 0.002
+HEAVY_FLOOR = 100_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -14,33 +16,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
-               residual: Column | None = None, spread: Column | None = None,
-               max_rows: int = BROADCAST_ROWS, salts: int = SALTS, bounded: bool = False) -> DataFrame:
-    """Equi-join ``big`` with a dimension on few, possibly hot, keys.
-
-    The dimension is broadcast while a bounded count shows it fits. Beyond that bound every big row
-    gets a salt from ``spread`` and the dimension is repeated once per salt, so a key holding a third
-    of the rows is shared by ``salts`` tasks. ``bounded`` skips the count for a dimension whose size is
-    fixed by construction (a literal table, a vocabulary). Key columns of ``small`` are dropped.
-    """
-    renamed = small.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in small.columns])
-    on = [F.col(k) == F.col(f"__{k}") for k in keys]
-    if bounded or fits_broadcast(small, max_rows):
-        right, left = F.broadcast(renamed), big
-    else:
-        seed = spread if spread is not None else F.xxhash64(*big.columns)
-        left = big.withColumn("__salt", F.pmod(seed, F.lit(salts)))
-        right = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on.append(F.col("__salt") == F.col("__copy"))
-    condition = on[0]
-    for extra in [*on[1:], *([residual] if residual is not None else [])]:
-        condition = condition & extra
-    joined = left.join(right, condition, how)
-    return joined.drop(*[f"__{k}" for k in keys], "__salt", "__copy")
-
-
-def heavy_keys(df: DataFrame, key: str, share: float = 0.002, floor: int = 100_000) -> Column:
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, floor: int = HEAVY_FLOOR) -> Column:
     """Array of the keys holding more than ``share`` of the rows, as a scalar subquery.
 
     At most ``1 / share`` such keys can exist, whatever the data. The count reads one column and is
@@ -54,19 +30,54 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.002, floor: int = 100_0
     return heavy.agg(F.collect_list(key)).scalar()
 
 
+def _salted(big: DataFrame, small: DataFrame, key_of_big: Column, key_of_small: Column, hot: Column, spread: Column,
+            salts: int) -> tuple[DataFrame, DataFrame]:
+    """Salt the big rows of hot keys and repeat only the small rows they meet.
+
+    A NULL key matches nothing, so an outer join may scatter those rows as it likes.
+    """
+    scattered = key_of_big.isNull() | F.array_contains(hot, key_of_big)
+    left = big.withColumn("__salt", F.when(scattered, F.pmod(spread, F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    copies = F.when(F.array_contains(hot, key_of_small), F.sequence(F.lit(0), F.lit(salts - 1)))
+    right = small.withColumn("__copy", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
+    return left, right
+
+
 def salted_join(big: DataFrame, dim: DataFrame, key: str, spread: str, counted: DataFrame, how: str = "inner",
                 salts: int = SALTS, **heavy) -> DataFrame:
-    """Join facts with a dimension of any size on its unique key, spreading the heavy keys.
+    """Join facts with a dimension of any size on its key, spreading the heavy keys.
 
     ``counted`` is the cheapest frame that holds the fact keys (a raw scan), so finding the heavy keys
     does not run the plan behind ``big`` a second time. Facts of a heavy key draw a salt from the
     ``spread`` column and only those dimension rows are repeated; everything else joins unsalted.
     """
     hot = heavy_keys(counted, key, **heavy)
-    # a NULL key matches nothing, so an outer join may scatter those rows as it likes
-    scattered = F.col(key).isNull() | F.array_contains(hot, F.col(key))
-    salt = F.when(scattered, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = F.when(F.array_contains(hot, F.col(key)), F.sequence(F.lit(0), F.lit(salts - 1)))
-    left = big.withColumn("__salt", F.coalesce(salt, F.lit(0)))
-    right = dim.withColumn("__salt", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    left, right = _salted(big, dim, F.col(key), F.col(key), hot, F.xxhash64(spread), salts)
+    return left.join(right.withColumnRenamed("__copy", "__salt"), [key, "__salt"], how).drop("__salt")
+
+
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", residual: Column | None = None,
+               spread: Column | None = None, max_rows: int = BROADCAST_ROWS, salts: int = SALTS, bounded: bool = False,
+               **heavy) -> DataFrame:
+    """Equi-join ``big`` with a dimension on few, possibly hot, keys.
+
+    The dimension is broadcast while a bounded count shows it fits. Beyond that bound the join shuffles
+    with the heavy key combinations salted as in ``salted_join``. ``residual`` is a further condition,
+    such as a validity interval. ``bounded`` skips the count for a dimension whose size is fixed by
+    construction (a literal table, a vocabulary). Key columns of ``small`` are dropped.
+    """
+    right = small.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in small.columns])
+    on = [F.col(k) == F.col(f"__{k}") for k in keys]
+    left = big
+    if bounded or fits_broadcast(small, max_rows):
+        right = F.broadcast(right)
+    else:
+        of_big, of_small = F.xxhash64(*keys), F.xxhash64(*[f"__{k}" for k in keys])
+        hot = heavy_keys(big.select(of_big.alias("__h")), "__h", **heavy)
+        seed = spread if spread is not None else F.xxhash64(*big.columns)
+        left, right = _salted(big, right, of_big, of_small, hot, seed, salts)
+        on.append(F.col("__salt") == F.col("__copy"))
+    condition = on[0]
+    for extra in [*on[1:], *([residual] if residual is not None else [])]:
+        condition = condition & extra
+    return left.join(right, condition, how).drop(*[f"__{k}" for k in keys], "__salt", "__copy")

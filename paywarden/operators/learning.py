@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.functions import rules as R
+from paywarden.session import work_dir
 
 CATEGORIES = ["signal_strength_mix", "program", "state", "disposition"]
 NUMBERS = ["n_signals", "amount_usd", "days_estimate"]
@@ -49,33 +50,40 @@ def _numeric(rows: DataFrame) -> DataFrame:
     return rows.withColumn("amount_usd", F.col("amount_usd").cast("double"))
 
 
-def train(rows: DataFrame, iterations: int = 8, depth: int = 4, seed: int = 7) -> tuple[PipelineModel, PipelineModel]:
-    """Classifier for the improper label and regressor for the recovery of improper cases."""
-    data = _numeric(rows).withColumn("recovery", F.col("recovery_amount_usd").cast("double"))
+def _labelled(rows: DataFrame) -> DataFrame:
+    return _numeric(rows).withColumn("recovery", F.col("recovery_amount_usd").cast("double"))
+
+
+def train(rows: DataFrame, iterations: int = 8, depth: int = 4, seed: int = 7) -> PipelineModel:
+    """Classifier for the improper label and regressor for the recovery of improper cases.
+
+    Training reads its rows several times, so they are written once to the shared folder; both models
+    share one set of fitted feature stages.
+    """
+    spark, path = rows.sparkSession, work_dir(rows.sparkSession, "training")
+    data = _labelled(rows)
+    data.write.parquet(path)
+    data = spark.read.schema(data.schema).parquet(path)
+    features = Pipeline(stages=_assembled()).fit(data)
+    ready = features.transform(data)
     classifier = GBTClassifier(labelCol="was_improper", maxIter=iterations, maxDepth=depth, seed=seed)
     regressor = GBTRegressor(labelCol="recovery", predictionCol="recovery_hat", maxIter=iterations, maxDepth=depth, seed=seed)
-    improper = Pipeline(stages=[*_assembled(), classifier]).fit(data)
-    recovery = Pipeline(stages=[*_assembled(), regressor]).fit(data.filter(F.col("was_improper") == 1))
-    return improper, recovery
+    improper = classifier.fit(ready)
+    recovery = regressor.fit(ready.filter(F.col("was_improper") == 1))
+    return PipelineModel(stages=[*features.stages, improper, recovery])
 
 
-def evaluate(models: tuple[PipelineModel, PipelineModel], rows: DataFrame) -> dict[str, float]:
-    data = _numeric(rows).withColumn("recovery", F.col("recovery_amount_usd").cast("double"))
-    improper, recovery = models
-    auc = BinaryClassificationEvaluator(labelCol="was_improper").evaluate(improper.transform(data))
+def evaluate(model: PipelineModel, rows: DataFrame) -> dict[str, float]:
+    scored = model.transform(_labelled(rows))
+    auc = BinaryClassificationEvaluator(labelCol="was_improper").evaluate(scored)
     rmse = RegressionEvaluator(labelCol="recovery", predictionCol="recovery_hat").evaluate(
-        recovery.transform(data.filter(F.col("was_improper") == 1)))
+        scored.filter(F.col("was_improper") == 1))
     return {"auc": auc, "rmse": rmse}
 
 
-def score(models: tuple[PipelineModel, PipelineModel], candidates: DataFrame) -> DataFrame:
+def score(model: PipelineModel, candidates: DataFrame) -> DataFrame:
     """Best disposition per payment by predicted net value; three candidate rows meet per payment."""
-    improper, recovery = models
-    p = vector_to_array("probability")[1]
-    kept = ["payment_id", "disposition", "days_estimate", "amount_usd"]
-    with_p = improper.transform(_numeric(candidates)).select(*kept, *[c for c in [*NUMBERS, *CATEGORIES] if c not in kept],
-                                                             p.alias("p"))
-    both = recovery.transform(with_p)
+    both = model.transform(_numeric(candidates)).withColumn("p", vector_to_array("probability")[1])
     recovered = F.when(F.col("disposition") == R.RELEASE, F.lit(0.0)).otherwise(
         F.col("p") * F.greatest("recovery_hat", F.lit(0.0)))
     delay = F.col("amount_usd") * 0.005 * F.col("days_estimate")

@@ -30,8 +30,8 @@ def disposition_features(c: Context) -> DataFrame:
 @query("disposition_model")
 def disposition_model(c: Context) -> DataFrame:
     """Recommended disposition per open payment by the trained model."""
-    models = L.train(L.training_rows(c.s.silver_outcomes))
-    return L.score(models, L.candidate_rows(c.s.queue)).select(
+    model = L.train(L.training_rows(c.s.silver_outcomes))
+    return L.score(model, L.candidate_rows(c.s.queue)).select(
         "payment_id", F.col("disposition").alias("recommended_disposition"),
         F.round("improper_probability", 6).alias("improper_probability"),
         F.round("predicted_recovery_usd", 2).alias("predicted_recovery_usd"),

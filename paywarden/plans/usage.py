@@ -48,7 +48,7 @@ def broadcast_hint(c: Context) -> DataFrame:
     """The price join with the price side broadcast, and the way taken when it is too large for that."""
     out = None
     for side, limit in (("broadcast", 1000), ("salted", 0)):
-        priced = U.price_closed(c.t.usage(), prices(c), USAGE_AS_OF, max_rows=limit, salts=8)
+        priced = U.price_closed(c.t.usage(), prices(c), USAGE_AS_OF, max_rows=limit, salts=8, floor=100)
         one = priced.groupBy("sku_name").agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(U.cost(), F.lit(0).cast("decimal(18,2)"))).alias("cost_usd"))
         one = one.select(F.lit(side).alias("side"), "*")

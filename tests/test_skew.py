@@ -31,7 +31,8 @@ def test_salted_join_equals_plain_join(spark, hot, how):
 def test_sized_join_is_the_same_beyond_the_bound(spark, hot, limit):
     dim = spark.createDataFrame([(1, 0, 500, "a"), (1, 500, 2000, "b"), (3, 0, 2000, "c")], "k long, lo int, hi int, tag string")
     residual = (F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))
-    got = sized_join(hot, dim, ["k"], "left", residual, spread=F.xxhash64("id"), max_rows=limit, salts=8)
+    got = sized_join(hot, dim, ["k"], "left", residual, spread=F.xxhash64("id"), max_rows=limit, salts=8, share=0.01,
+                     floor=10)
     d = dim.alias("d")
     want = hot.alias("h").join(d, (F.col("h.k") == F.col("d.k")) & residual, "left").select("id", F.col("h.k"), "v", "tag")
     assert rows(got.select("id", "k", "v", "tag")) == rows(want)
