@@ -196,7 +196,7 @@ def null_default_round(c: Context) -> DataFrame:
                || 'd ago' WHEN floor(mins / 60) >= 1 THEN CAST(CAST(floor(mins / 60) AS BIGINT) AS VARCHAR) || 'h ago'
            WHEN mins >= 1 THEN CAST(CAST(mins AS BIGINT) AS VARCHAR) || 'm ago' ELSE 'just now' END AS age FROM a""")
 def age_bucket(c: Context) -> DataFrame:
-    now = F.lit(dt.datetime(2024, 1, 30, 12)).cast("timestamp_ntz")
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
     return c.t.read("events").select("event_id", X.age_label(F.col("ts"), now).alias("age"))
 
 

@@ -165,10 +165,10 @@ def keyed_upsert(c: Context) -> DataFrame:
     guides = c.t.playbooks().select("guide_id", F.col("summary").alias("content"))
     stored = guides.filter(number % 5 != 0).select(
         "*", F.array(F.lit(1.0).cast("float")).alias("search_embedding"),
-        F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("updated_at"))
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"))
     incoming = guides.filter(number % 7 != 0).withColumn(
         "content", F.when(number % 3 == 0, F.concat("content", F.lit(" (revised)"))).otherwise(F.col("content")))
-    now = F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     merged = sinks.upsert_by_key(stored, incoming, "guide_id", "content", "search_embedding", "updated_at", now)
     return merged.select("guide_id", "content", F.col("search_embedding").isNotNull().alias("has_vector"), "updated_at")
 

@@ -103,7 +103,7 @@ def cdc_apply_latest(c: Context) -> DataFrame:
 @query("cdc_apply_latest_stream", CURRENT)
 def cdc_apply_latest_stream(c: Context) -> DataFrame:
     source, schema = feed_files(c)
-    return feeds.stream_latest(c.spark, source, schema, work_dir(c.spark, "latest"), work_dir(c.spark, "latest-state"), 2)
+    return feeds.stream_latest(c.spark, source, schema, work_dir(c.spark, "latest"), work_dir(c.spark, "latest-state"), 3)
 
 
 @query("cdc_history_scd2", """
@@ -135,7 +135,7 @@ def cdc_change_counts(c: Context) -> DataFrame:
     """The files replay a month in arbitrary order, so the allowed lateness covers that month."""
     source, schema = feed_files(c)
     return feeds.stream_change_counts(c.spark, source, schema, work_dir(c.spark, "counts"),
-                                      work_dir(c.spark, "counts-state"), "40 days", files_per_trigger=2)
+                                      work_dir(c.spark, "counts-state"), "40 days", files_per_trigger=3)
 
 
 @query("queue_live_refresh", f"""

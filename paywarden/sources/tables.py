@@ -265,7 +265,7 @@ class Tables:
         empty = F.array().cast("array<struct<kind:string,callId:string,name:string>>")
         return self.read("conversations").select(
             conv.alias("conversation_id"), turn.alias("position"), "role", F.col("text").alias("content"),
-            (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+            (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
              + F.make_dt_interval(hours=conv.cast("int"), mins=turn.cast("int"))).alias("created_at"),
             F.when((F.col("role") == "assistant") & (conv % 2 == 0), F.array(step)).otherwise(empty).alias("thinking"),
         )

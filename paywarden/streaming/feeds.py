@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from paywarden.functions import rules as R
 from paywarden.operators import changes
 from paywarden.operators.desk import EXPOSURE, RECOVERY
+from paywarden.operators.joins import fits_broadcast
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,9 +25,9 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def batch_sink(out: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
     def write(df: DataFrame, batch: int) -> None:
-        shape(df).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
     return write
 
 
@@ -73,16 +74,26 @@ def stream_queue_kpis(spark: SparkSession, source: str, schema: T.StructType, qu
     """Header figures kept current as decisions arrive.
 
     State remembers which payments have a decision. A batch only looks up the payments decided for the
-    first time and writes what they take off the totals, so its cost follows the batch, not the log.
+    first time and writes what they take off the totals; the queue is scanned but not shuffled while the
+    batch fits a broadcast.
     """
-    def taken_off(df: DataFrame) -> DataFrame:
-        return df.join(queue, "payment_id").agg(
+    def taken_off(decided: DataFrame) -> DataFrame:
+        return queue.join(decided, "payment_id").agg(
             F.coalesce(F.sum(EXPOSURE), F.lit(0)).cast("decimal(28,2)").alias("exposure"),
             F.coalesce(F.sum(RECOVERY), F.lit(0)).cast("decimal(28,2)").alias("recovery"),
             F.count(F.lit(1)).alias("n"), F.count_if(F.col("recommended_disposition") == R.REFER).alias("refer"))
 
+    write = batch_sink(out)
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.persist()  # looked at twice: its size, then its rows
+        try:
+            write(taken_off(F.broadcast(df) if fits_broadcast(df) else df), batch)
+        finally:
+            df.unpersist()
+
     first = file_stream(spark, source, schema, files_per_trigger).select("payment_id").dropDuplicates(["payment_id"])
-    run_available(first, "append", batch_sink(out, taken_off), checkpoint)
+    run_available(first, "append", sink, checkpoint)
     deltas = read_batches(spark, out, T.StructType.fromDDL("exposure decimal(28,2), recovery decimal(28,2), n long, refer long"))
     off = deltas.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("exposure", "recovery", "n", "refer")])
     off = off.agg(F.struct(*[F.first(c).alias(c) for c in off.columns])).scalar()

@@ -12,6 +12,8 @@ from paywarden.session import work_dir
 from paywarden.sources import sinks
 
 T0 = dt.datetime(2024, 1, 1)
+RECS = ("payment_id long, recommended_disposition string, confidence_score double, projected_recovery_if_investigated_usd "
+        "decimal(18,2), citizen_delay_cost_usd decimal(18,2), improper_payment_exposure_usd decimal(18,2), reasoning string")
 
 
 def test_upsert_clears_the_vector_only_when_content_changes(spark):
@@ -46,6 +48,8 @@ def test_snapshot_needs_a_unique_key(spark):
 def test_missing_optional_table_is_empty(spark):
     df = sinks.optional_table(spark, "no_such_table", "k int")
     assert df.columns == ["k"] and df.isEmpty()
+    recs = sinks.optional_table(spark, "no_such_recs", RECS)
+    assert K.mirror_recommendations(recs).isEmpty()
 
 
 def actions(spark, rows):
@@ -93,3 +97,35 @@ def test_clean_history_drops_blank_and_foreign_messages(spark):
                               "conversation_id long, position long, role string, content string")
     assert {r.conversation_id: (r.kept, r.last_role, r.sendable) for r in T.clean_history(m).collect()} == {
         1: (1, "user", True), 2: (2, "assistant", False)}
+
+
+def test_ranking_treats_missing_figures_as_zero_and_unknown_dispositions_as_none(spark):
+    rows = spark.createDataFrame([(1, "escalate", 0.4, None, None, None, "x")], RECS)
+    r = K.mirror_recommendations(rows).collect()[0]
+    assert r.recommended_disposition is None and r.recommended_hold_hours is None
+    assert [float(o.predicted_net_value_usd) for o in r.action_ranking] == [0.0, 0.0, 0.0]
+
+
+def test_positions_continue_after_the_stored_maximum(spark):
+    stored = spark.createDataFrame([(1, 0), (1, 4)], "conversation_id long, position long")
+    new = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 1), (2, "d", 2)], "conversation_id long, content string, seq long")
+    got = T.append_positions(stored, new, [F.asc("seq")])
+    assert sorted((r.conversation_id, r.position, r.content) for r in got.collect()) == [
+        (1, 5, "a"), (1, 6, "b"), (2, 0, "c"), (2, 1, "d")]
+
+
+def test_work_dir_on_a_cluster_needs_the_shared_folder(spark):
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Conf({k.replace("_", "."): v for k, v in values.items()})
+
+    with pytest.raises(RuntimeError):
+        work_dir(Session(spark_master="yarn"), "x")
+    assert work_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
