@@ -130,9 +130,9 @@ def confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, thre
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, set_key, component_id and kept for every row of ``docs`` (doc_id, text).
 
-    Links join texts with 100 * intersection >= threshold * union. In a first round each member of a bucket is compared
-    with the bucket's smallest member; most of a large group falls into one component by that. The second round compares
-    members of one bucket that are still in different components, so no group of copies is ever expanded into pairs.
+    Links join texts with 100 * intersection >= threshold * union. Each text is compared with the smallest leader of its
+    buckets first, which makes most of a large group one component; then with the leaders of other components only; then
+    members of one bucket that are still in different components with each other. No group of copies is ever expanded into pairs.
     """
     signed = stored(signatures(docs, n), "signatures")
     classes = stored(signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(
@@ -142,23 +142,37 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     buckets = stored(members.join(leaders, "band"), "buckets")
     bits = classes.select("set_key", "low_bits")
     near = (threshold / 100) - SLACK
-    star = (buckets.filter(F.col("set_key") != F.col("leader")).select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
-            .join(bits.select(F.col("set_key").alias("a"), F.col("low_bits").alias("bits_a")), "a")
-            .join(bits.select(F.col("set_key").alias("b"), F.col("low_bits").alias("bits_b")), "b")
-            .filter(estimate(F.col("bits_a"), F.col("bits_b")) >= near).select("a", "b"))
-    links = stored(confirmed(docs, signed, stored(star, "pairs"), n, threshold), "confirmed")
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(bits.select(F.col("set_key").alias("a"), F.col("low_bits").alias("bits_a")), "a")
+                .join(bits.select(F.col("set_key").alias("b"), F.col("low_bits").alias("bits_b")), "b")
+                .filter(estimate(F.col("bits_a"), F.col("bits_b")) >= near).select("a", "b"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return stored(confirmed(docs, signed, stored(pairs, "pairs"), n, threshold), "confirmed")
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        """Members, with their own and their leader's root, of the buckets that hold several components."""
+        now = buckets.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
+            "band", "set_key", "leader", "size", F.coalesce("root", "set_key").alias("root"))
+        several = now.groupBy("band").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"),
+            F.max(F.when(F.col("set_key") == F.col("leader"), F.col("root"))).alias("leader_root")).filter("low != high")
+        return now.join(several.select("band", "leader_root"), "band")
+
+    first = buckets.filter(F.col("set_key") != F.col("leader")).groupBy(F.col("set_key").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    links = confirm(estimated(first))
+    roots = stored(components(links), "roots")
+    star = still_open(roots).filter("root != leader_root").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
+    links = stored(links.union(confirm(estimated(star))), "all-links")
     roots = stored(components(links), "roots")
-    # Buckets of more than two, in which the first round has not compared everyone, with members of several components.
-    now = buckets.filter("size > 2").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "band", "set_key", "leader", F.coalesce("root", "set_key").alias("root"))
-    open_bands = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    rest = now.join(open_bands, "band", "left_semi").join(bits, "set_key").select("band", "set_key", "leader", "root", "low_bits")
+    # Who is left in a bucket of several components has been compared with its leader, but not with the others there.
+    rest = still_open(roots).filter("size > 2 and set_key != leader").join(bits, "set_key").select("band", "set_key", "root", "low_bits")
     left, right = rest.alias("l"), rest.alias("r")
     late = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.set_key") < F.col("r.set_key"))
-                     & (F.col("l.root") != F.col("r.root")) & (F.col("l.set_key") != F.col("l.leader"))
-                     & (estimate(F.col("l.low_bits"), F.col("r.low_bits")) >= near)
+                     & (F.col("l.root") != F.col("r.root")) & (estimate(F.col("l.low_bits"), F.col("r.low_bits")) >= near)
                      ).select(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b")).distinct()
-    more = stored(confirmed(docs, signed, stored(late, "pairs"), n, threshold), "confirmed")
+    more = confirm(late)
     if not more.isEmpty():
         roots = stored(components(links.union(more)), "roots")
     rooted = classes.select("set_key", "doc_id").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
