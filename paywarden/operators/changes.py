@@ -36,7 +36,7 @@ def change_feed(events: DataFrame) -> DataFrame:
         .otherwise(F.array(row(PRE, "prev_status", "prev_action_type", 0), row(POST, "status", "action_type", 1))))
     return rows.select("id", "event_id", "ts", F.explode(changes).alias("c")).select(
         "id", "c.status", "c.action_type", "c._pg_change_type", (F.col("event_id") * 64).alias("_pg_lsn"),
-        F.col("event_id").cast("int").alias("_pg_xid"), F.col("ts").alias("_timestamp"), "c._sort_by")
+        F.pmod(F.col("event_id"), F.lit(1 << 31)).cast("int").alias("_pg_xid"), F.col("ts").alias("_timestamp"), "c._sort_by")
 
 
 def newest_version(feed: DataFrame) -> DataFrame:

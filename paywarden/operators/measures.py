@@ -120,11 +120,11 @@ def surge(daily: DataFrame, onset: dt.date) -> DataFrame:
 
 def outcome_rates(outcomes: DataFrame, dims: list[str]) -> DataFrame:
     """Improper rate, average recovered share of the amount when improper, mean days to resolution."""
-    share = F.col("recovery_amount_usd").cast("double") / F.col("amount_usd").cast("double")
+    share = F.try_divide(F.col("recovery_amount_usd").cast("double"), F.col("amount_usd").cast("double"))
     # shares are summed as decimals so that the result does not depend on the order of the rows
-    share_sum = F.sum(F.when(F.col("was_improper"), F.round(share, 9).cast("decimal(12,9)")))
+    share_sum = F.sum(F.when(F.col("was_improper"), F.round(share, 9).cast("decimal(27,9)")))
     return outcomes.groupBy(*dims).agg(
         F.count(F.lit(1)).alias("cases"),
         (F.count_if("was_improper").cast("double") / F.count(F.lit(1))).alias("improper_rate"),
-        F.round(share_sum.cast("double") / F.count_if("was_improper"), 6).alias("avg_recovery_share"),
+        F.round(F.try_divide(share_sum.cast("double"), F.count_if("was_improper")), 6).alias("avg_recovery_share"),
         (F.sum("days_to_resolution").cast("double") / F.count(F.lit(1))).alias("avg_days"))

@@ -56,13 +56,13 @@ def queue_checks(scored: DataFrame, known: KnownPayment) -> DataFrame:
         F.median(F.when(high, c("n_signals"))).alias("high_median"),
         F.sum(E).alias("exposure"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"),
         F.sum(F.when(high, c(E))).alias("high_detail"))
-    top_share = F.greatest(*R.DISPOSITIONS) / c("n")
+    top_share = F.try_divide(F.greatest(*R.DISPOSITIONS), c("n"))
     return report(stats, {
         "known_payment": (c("known"), c("known") == 1),
         "known_recommendation": (c("known_rec"), c("known_rec") == 1),
         "three_way_mix": (top_share, (F.least(*R.DISPOSITIONS) > 0) & (top_share < 0.95)),
         "high_risk_median_signals": (c("high_median"), c("high_median") >= 2),
-        "high_risk_strong_share": (c("high_strong") / c("high"), c("high_strong") / c("high") >= 0.7),
+        "high_risk_strong_share": (F.try_divide(c("high_strong"), c("high")), F.try_divide(c("high_strong"), c("high")) >= 0.7),
         "exposure_floor": (c("exposure"), c("exposure") > 1_000_000),
         "domains_and_bounds": (c("bad"), c("bad") == 0),
         "row_count_band": (c("n"), c("n") > 0),
@@ -74,7 +74,7 @@ def history_checks(outcomes: DataFrame) -> DataFrame:
     d = c("disposition_chosen")
 
     def rate(which: str) -> Column:
-        return F.count_if((d == which) & c("was_improper")) / F.count_if(d == which)
+        return F.try_divide(F.count_if((d == which) & c("was_improper")), F.count_if(d == which))
 
     single = c("n_signals") == 1
     stats = outcomes.agg(

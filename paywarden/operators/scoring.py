@@ -225,7 +225,7 @@ class Scored:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return signal_summary(self.t.payment_flags(), self.t.signal_classification(), R.SIGNALS)
+        return signal_summary(self.t.payment_flags(), self.t.signal_classification())
 
     @cached_property
     def silver(self) -> DataFrame:

@@ -83,7 +83,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k: int = 10) -> DataF
         "doc", F.size("t").alias("dl"),
         *[_occurrences("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
     seen = Observation()
-    found = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
+    found = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0), F.lit(0)) > 0
     path = work_dir(docs.sparkSession, "text-hits")
     counted.observe(
         seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"),

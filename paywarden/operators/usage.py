@@ -84,8 +84,8 @@ def price_closed(usage: DataFrame, prices: DataFrame, as_of: dt.date, **size) ->
 
 
 def cost() -> Column:
-    """Quantity × unit price; a price has at most six decimals in use, so the product is exact."""
-    return F.col("usage_quantity") * F.col("unit_price_usd").cast("decimal(18,6)")
+    """Quantity × unit price; prices per token need up to twelve decimals, and only sums are rounded."""
+    return F.col("usage_quantity") * F.col("unit_price_usd").cast("decimal(20,12)")
 
 
 def product_rollup(priced: DataFrame) -> DataFrame:

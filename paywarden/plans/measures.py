@@ -283,7 +283,7 @@ def surge_ratio(c: Context) -> DataFrame:
 def high_risk_profile(c: Context) -> DataFrame:
     high = c.s.queue.filter(F.col("risk_level") == "high")
     return high.agg(F.median("n_signals").alias("median_signals"),
-                    (F.sum("has_strong").cast("double") / F.count(F.lit(1))).alias("strong_share"))
+                    F.try_divide(F.sum("has_strong").cast("double"), F.count(F.lit(1))).alias("strong_share"))
 
 
 @query("high_risk_recovery", f"SELECT CAST(sum({V}) AS DOUBLE) AS recovery_usd FROM open_queue WHERE risk_level = 'high'")
@@ -303,7 +303,7 @@ def low_confidence_exposure(c: Context) -> DataFrame:
     FROM scored WHERE risk_level = 'high'""")
 def high_risk_refer_share(c: Context) -> DataFrame:
     return c.s.scored.filter(F.col("risk_level") == "high").agg(
-        (F.count_if(F.col("recommended_disposition") == R.REFER) * F.lit(100.0) / F.count(F.lit(1))).alias("share"))
+        F.try_divide(F.count_if(F.col("recommended_disposition") == R.REFER) * F.lit(100.0), F.count(F.lit(1))).alias("share"))
 
 
 @query("ops_kpis", f"""

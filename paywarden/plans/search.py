@@ -21,7 +21,7 @@ PHRASES = [
     "find cases like payment 9", "hold payment 17 for verification", "what happens if payment 17 is released?",
 ]
 
-TOKENS = """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents WHERE lang = 'en')"""
+TOKENS = """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)"""
 
 
 def _bm25_sql(k: int) -> str:
@@ -47,21 +47,21 @@ def _cosine_sql(queries: str, k: int) -> str:
 
 @query("bm25_search", f"WITH {_bm25_sql(10)} SELECT doc, score FROM textrank")
 def bm25_search(c: Context) -> DataFrame:
-    return S.bm25(c.t.english_documents(), "doc_id", "text", ASK, 10)
+    return S.bm25(c.t.text_documents(), "doc_id", "text", ASK, 10)
 
 
 @query("token_index", f"""
     WITH {TOKENS}, words AS (SELECT doc_id, unnest(t) AS term FROM toks)
     SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM words GROUP BY term""")
 def token_index(c: Context) -> DataFrame:
-    return S.term_statistics(c.t.english_documents(), "text")
+    return S.term_statistics(c.t.text_documents(), "text")
 
 
 @query("token_postings", f"""
     WITH {TOKENS}, words AS (SELECT doc_id AS doc, unnest(t) AS term FROM toks)
     SELECT doc, term, count(*) AS tf FROM words GROUP BY 1, 2""")
 def token_postings(c: Context) -> DataFrame:
-    return S.postings(c.t.english_documents(), "doc_id", "text")
+    return S.postings(c.t.text_documents(), "doc_id", "text")
 
 
 @query("vector_top_k", f"""
@@ -92,7 +92,7 @@ def vector_top_k_ann(c: Context) -> DataFrame:
            round(coalesce(1.0::DOUBLE / (60 + text_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 9) AS score
     FROM t FULL JOIN v ON t.doc = v.doc ORDER BY score DESC, doc LIMIT 10""")
 def hybrid_search(c: Context) -> DataFrame:
-    best = S.bm25(c.t.english_documents(), "doc_id", "text", ASK, 50)
+    best = S.bm25(c.t.text_documents(), "doc_id", "text", ASK, 50)
     # at most fifty rows are ranked here
     text_hits = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "doc")))
     vectors = c.t.vectors()

@@ -158,5 +158,5 @@ def flag_ingest_dedup(c: Context) -> DataFrame:
     raw.repartition(4).write.parquet(path)
     pairs = feeds.stream_flag_pairs(c.spark, path, raw.schema, work_dir(c.spark, "pairs"),
                                     work_dir(c.spark, "pairs-state"), files_per_trigger=2)
-    return scoring.signal_summary(pairs, c.t.signal_classification(), R.SIGNALS).select(
+    return scoring.signal_summary(pairs, c.t.signal_classification()).select(
         "payment_id", "n_signals", "signal_list", "has_strong_signal")

@@ -41,7 +41,7 @@ CTES: dict[str, str] = {
         SELECT o_orderkey AS payment_id, o_custkey AS beneficiary_id, o_orderkey AS claim_id,
                CAST(o_totalprice AS DECIMAL(18,2)) AS payment_amount_usd, CAST(o_orderdate AS DATE) AS queue_date,
                'pre_disbursement' AS payment_status
-        FROM orders WHERE o_custkey % 50 <> 49""",
+        FROM orders""",
     "payment_flags": f"""
         SELECT DISTINCT l_orderkey AS payment_id, {SIG}[1 + l_partkey % 8] AS signal
         FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.05::DOUBLE""",

@@ -101,7 +101,7 @@ class Tables:
 
     def payments(self) -> DataFrame:
         return (
-            self.read("orders").filter(F.col("o_custkey") % 50 != 49)
+            self.read("orders")
             .select(
                 F.col("o_orderkey").alias("payment_id"),
                 F.col("o_custkey").alias("beneficiary_id"),
@@ -295,8 +295,8 @@ class Tables:
             "vec_id", F.when(F.col("vec_id") % 50 != 49, F.col("embedding")).alias("embedding"), "label",
         )
 
-    def english_documents(self) -> DataFrame:
-        return self.read("documents").filter(F.col("lang") == "en").select("doc_id", "text")
+    def text_documents(self) -> DataFrame:
+        return self.read("documents").select("doc_id", "text")
 
     def playbooks(self) -> DataFrame:
         """Verification guides derived from the documents: one guide per document."""

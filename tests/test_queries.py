@@ -7,12 +7,14 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows_of
+from paywarden.plans import load
 from paywarden.plans.registry import Context
 from paywarden.schemas import TABLES
 
 PATH = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(PATH), reason="no test data")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = load()
+ORACLE = {key: e.sql for key, e in QUERIES.items() if e.sql}
 ROWS_ONLY = {"vector_top_k_ann", "disposition_model"}
 
 
