@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
 
     Links join texts with 100 * intersection >= threshold * union. Each text is compared with the smallest leader of its
     buckets first, which makes most of a large group one component; then with the leaders of other components only; then
-    members of one bucket that are still in different components with each other. No group of copies is ever expanded into pairs.
+    members of one bucket that are still in different components with each other. Copies are never expanded into pairs; a
+    family of texts that are estimated near the threshold without being linked still is (see README).
     """
     signed = stored(signatures(docs, n), "signatures")
     classes = stored(signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(
