@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Each text becomes its set of word shingles and 256 minima of seeded hashes. Bands of six minima give candidates, the two
-low bits of every minimum are packed into eight longs, and the share of equal bit pairs, corrected for chance collisions,
+Each text becomes its set of word shingles and 768 minima of seeded hashes. Bands of six minima give candidates, the four
+low bits of every minimum are packed into 48 longs, and the share of equal groups of bits, corrected for chance collisions,
 estimates the similarity. What passes is confirmed on the full sets.
 
 Two texts with similarity s share one of 42 bands with probability 1 - (1 - s**6)**42: 0.999997 at 0.8.
@@ -27,12 +27,15 @@ from paywarden.llm.shared import stored, travels
 
 travels(__name__)
 
-MINIMA, BANDS, ROWS = 256, 42, 6
+MINIMA, BANDS, ROWS, BITS = 768, 42, 6, 4
+PACKED = 64 // BITS
 _seeds = np.random.default_rng(77)
-XOR = _seeds.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
-TIMES = (_seeds.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * 2 + 1)[:, None]
-#: Estimates may fall this far below the threshold: five standard deviations of 256 two-bit comparisons.
-SLACK = 0.15
+XOR = _seeds.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
+TIMES = (_seeds.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * 2 + 1)
+#: An estimate may fall so many of its standard deviations below the threshold.
+DEVIATIONS = 5
+#: Longs of the coarse estimate that is taken before the one from all of them.
+COARSE = 8
 
 SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, low_bits array<bigint>"
 
@@ -44,24 +47,23 @@ def _sets(column: pa.Array, n: int):
             yield first + i, np.unique(W.shingles(hashes[limits[i]:limits[i + 1]], n))
 
 
-
 def _key(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def minima(found: np.ndarray) -> np.ndarray:
-    """The smallest value of each seeded hash over one set; 1,024 shingles at a time."""
+    """The smallest value of each seeded hash over one set; 512 shingles at a time."""
     out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     high = (found >> W.U(32)).astype(np.uint32)
-    for k in range(0, len(high), 1024):
-        np.minimum(out, ((high[None, k:k + 1024] ^ XOR) * TIMES).min(axis=1), out=out)
+    for k in range(0, len(high), 512):
+        np.minimum(out, ((high[k:k + 512, None] ^ XOR) * TIMES).min(axis=0), out=out)
     return out
 
 
 def low_bits(lowest: np.ndarray) -> np.ndarray:
-    """Two bits of each minimum, 32 pairs in each of eight longs."""
-    pairs = W.mix(lowest.astype(W.U)) & W.U(3)
-    return (pairs.reshape(8, 32) << (W.U(2) * np.arange(32, dtype=W.U))).sum(axis=1, dtype=W.U).view(np.int64)
+    """Four bits of each minimum, 16 of them in each long."""
+    kept = W.mix(lowest.astype(W.U)) & W.U((1 << BITS) - 1)
+    return (kept.reshape(-1, PACKED) << (W.U(BITS) * np.arange(PACKED, dtype=W.U))).sum(axis=1, dtype=W.U).view(np.int64)
 
 
 def band_keys(lowest: np.ndarray) -> np.ndarray:
@@ -106,12 +108,43 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_signer(n), SIGNED)
 
 
+def _unequal(x: Column, y: Column) -> Column:
+    """How many of the minima packed in two longs differ in their low bits."""
+    differ = x.bitwiseXOR(y)
+    for shift in (1 << k for k in range(BITS.bit_length() - 1)):
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, shift))
+    return F.bit_count(differ.bitwiseAND(F.lit(int(("0" * (BITS - 1) + "1") * PACKED, 2))))
+
+
+def _similarity(unequal: Column, longs: int) -> Column:
+    """Unequal minima agree in their low bits by chance once in 2**BITS; this corrects for it."""
+    return 1 - unequal / F.lit(longs * PACKED * (1 - 0.5 ** BITS))
+
+
+def coarse_estimate(a: Column, b: Column) -> Column:
+    """Similarity from the first longs only, as plain arithmetic that Spark compiles."""
+    return _similarity(sum((_unequal(a[i], b[i]) for i in range(COARSE)), F.lit(0)), COARSE)
+
+
 def estimate(a: Column, b: Column) -> Column:
-    """Similarity from packed low bits; a quarter of all unequal minima agree in two bits by chance."""
-    pairs = int("01" * 32, 2)
-    unequal = sum((F.bit_count((a[i].bitwiseXOR(b[i]).bitwiseOR(F.shiftrightunsigned(a[i].bitwiseXOR(b[i]), 1))).bitwiseAND(F.lit(pairs)))
-                   for i in range(8)), F.lit(0))
-    return (1 - unequal / F.lit(float(MINIMA)) - 0.25) / 0.75
+    """Similarity from all packed low bits."""
+    unequal = F.aggregate(F.zip_with(a, b, _unequal), F.lit(0), lambda total, x: total + x.cast("int"))
+    return _similarity(unequal, MINIMA // PACKED)
+
+
+def lowest_estimate(threshold: int, minima_used: int) -> float:
+    """The estimate that a pair of just this similarity falls below once in some million cases."""
+    chance = 0.5 ** BITS
+    equal = chance + (1 - chance) * threshold / 100
+    return threshold / 100 - DEVIATIONS * (equal * (1 - equal) / minima_used) ** 0.5 / (1 - chance)
+
+
+def similar(l: str, r: str, threshold: int) -> Column:
+    """Whether two rows with n_shingles and low_bits may be as similar as asked: by set sizes, then by both estimates."""
+    bits, sizes = (F.col(f"{l}.low_bits"), F.col(f"{r}.low_bits")), (F.col(f"{l}.n_shingles"), F.col(f"{r}.n_shingles"))
+    return ((F.least(*sizes) * 100 >= F.greatest(*sizes) * threshold)
+            & (coarse_estimate(*bits) >= lowest_estimate(threshold, COARSE * PACKED))
+            & (estimate(*bits) >= lowest_estimate(threshold, MINIMA)))
 
 
 def confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -132,22 +165,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
 
     Links join texts with 100 * intersection >= threshold * union. Each text is compared with the smallest leader of its
     buckets first, which makes most of a large group one component; then with the leaders of other components only; then
-    members of one bucket that are still in different components with each other. Copies are never expanded into pairs; a
-    family of texts that are estimated near the threshold without being linked still is (see README).
+    members of one bucket that are still in different components with each other, each pair in the first band it shares.
+    Copies are never expanded into pairs; of texts that are near the threshold without being linked, only the pairs
+    that the estimate from all minima can't tell from links are.
     """
     signed = stored(signatures(docs, n), "signatures")
     classes = stored(signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("low_bits").alias("low_bits")), "classes")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+        F.first("low_bits").alias("low_bits")), "classes")
     members = classes.select("set_key", F.explode("bands").alias("band"))
     leaders = members.groupBy("band").agg(F.min("set_key").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = stored(members.join(leaders, "band"), "buckets")
-    bits = classes.select("set_key", "low_bits")
-    near = (threshold / 100) - SLACK
+    sketches = classes.select("set_key", "n_shingles", "low_bits")
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(bits.select(F.col("set_key").alias("a"), F.col("low_bits").alias("bits_a")), "a")
-                .join(bits.select(F.col("set_key").alias("b"), F.col("low_bits").alias("bits_b")), "b")
-                .filter(estimate(F.col("bits_a"), F.col("bits_b")) >= near).select("a", "b"))
+        left, right = sketches.alias("l"), sketches.alias("r")
+        return (pairs.join(left, F.col("a") == F.col("l.set_key")).join(right, F.col("b") == F.col("r.set_key"))
+                .filter(similar("l", "r", threshold)).select("a", "b"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return stored(confirmed(docs, signed, stored(pairs, "pairs"), n, threshold), "confirmed")
@@ -168,10 +202,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     links = stored(links.union(confirm(estimated(star))), "all-links")
     roots = stored(components(links), "roots")
     # Who is left in a bucket of several components has been compared with its leader, but not with the others there.
-    rest = still_open(roots).filter("size > 2 and set_key != leader").join(bits, "set_key").select("band", "set_key", "root", "low_bits")
+    rest = still_open(roots).filter("size > 2 and set_key != leader").join(
+        classes.select("set_key", "n_shingles", "bands", "low_bits"), "set_key").select("band", "set_key", "root", "n_shingles", "bands", "low_bits")
     left, right = rest.alias("l"), rest.alias("r")
     late = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.set_key") < F.col("r.set_key"))
-                     & (F.col("l.root") != F.col("r.root")) & (estimate(F.col("l.low_bits"), F.col("r.low_bits")) >= near)
+                     & (F.col("l.root") != F.col("r.root")) & similar("l", "r", threshold)
+                     & (F.array_intersect("l.bands", "r.bands")[0] == F.col("l.band"))
                      ).select(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b")).distinct()
     more = confirm(late)
     if not more.isEmpty():

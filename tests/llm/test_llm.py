@@ -73,12 +73,35 @@ def test_minhash_equals_all_pairs(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_estimate_follows_the_similarity():
-    pick = np.random.default_rng(1).integers(1, 1 << 62, 4000, dtype=np.uint64)
-    a, b = minhash.low_bits(minhash.minima(pick[:3000])), minhash.low_bits(minhash.minima(pick[500:]))
-    x = (a ^ b).view(np.uint64)
-    unequal = sum(bin(int(v | (v >> np.uint64(1))) & int("01" * 32, 2)).count("1") for v in x)
-    assert abs((1 - unequal / 256 - 0.25) / 0.75 - 2500 / 4000) < 0.12
+def test_estimates_follow_the_similarity(spark):
+    pick = np.random.default_rng(1).integers(1, 1 << 62, 8000, dtype=np.uint64)
+    base, true, rows = pick[:3000], [], []
+    for cut in (0, 100, 335, 700, 1500, 3000):  # similarities 1, 0.94, 0.8, 0.62, 0.33 and 0
+        other = pick[cut:cut + 3000]
+        true.append((3000 - cut) / (3000 + cut))
+        rows.append((cut, minhash.low_bits(minhash.minima(base)).tolist(), minhash.low_bits(minhash.minima(other)).tolist()))
+    frame = spark.createDataFrame(rows, "cut int, a array<bigint>, b array<bigint>")
+    got = frame.select(minhash.estimate(frame.a, frame.b).alias("fine"), minhash.coarse_estimate(frame.a, frame.b).alias("coarse")).collect()
+    for s, r in zip(true, got):
+        assert abs(r.fine - s) < 0.09 and abs(r.coarse - s) < 0.2, (s, r)
+    assert 0.72 < minhash.lowest_estimate(80, minhash.MINIMA) < 0.73
+
+
+def test_a_family_near_the_threshold_equals_all_pairs(spark):
+    pick, base, texts = random.Random(5), prose(8, 100).split(), []
+    for k in range(160):
+        w = list(base)
+        for at in pick.sample(range(4, 96), pick.choice([1, 2, 2, 3, 4])):
+            w[at] = f"word{k}x{at}"
+        texts.append(" ".join(w))
+    sets = [words4(t, 4) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    assert len(set(up)) > 20
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), n=4).collect()} == dict(enumerate(up))
 
 
 def test_vectors_equal_all_pairs_and_recall_is_whole(spark):
