@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Each text becomes its set of word shingles and 768 minima of seeded hashes. Bands of six minima give candidates, the four
-low bits of every minimum are packed into 48 longs, and the share of equal groups of bits, corrected for chance collisions,
+Each text becomes its set of word shingles and 1,024 minima of seeded hashes. Bands of six minima give candidates, the four
+low bits of every minimum are packed into 64 longs, and the share of equal groups of bits, corrected for chance collisions,
 estimates the similarity. What passes is confirmed on the full sets.
 
 Two texts with similarity s share one of 42 bands with probability 1 - (1 - s**6)**42: 0.999997 at 0.8.
@@ -27,7 +27,7 @@ from paywarden.llm.shared import stored, travels
 
 travels(__name__)
 
-MINIMA, BANDS, ROWS, BITS = 768, 42, 6, 4
+MINIMA, BANDS, ROWS, BITS = 1024, 42, 6, 4
 PACKED = 64 // BITS
 _seeds = np.random.default_rng(77)
 XOR = _seeds.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     members = classes.select("set_key", F.explode("bands").alias("band"))
     leaders = members.groupBy("band").agg(F.min("set_key").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = stored(members.join(leaders, "band"), "buckets")
-    sketches = classes.select("set_key", "n_shingles", "low_bits")
+    sketches = stored(classes.join(buckets.select("set_key").distinct(), "set_key", "left_semi").select(
+        "set_key", "n_shingles", "bands", "low_bits"), "sketches")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         left, right = sketches.alias("l"), sketches.alias("r")
@@ -202,8 +203,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     links = stored(links.union(confirm(estimated(star))), "all-links")
     roots = stored(components(links), "roots")
     # Who is left in a bucket of several components has been compared with its leader, but not with the others there.
-    rest = still_open(roots).filter("size > 2 and set_key != leader").join(
-        classes.select("set_key", "n_shingles", "bands", "low_bits"), "set_key").select("band", "set_key", "root", "n_shingles", "bands", "low_bits")
+    rest = still_open(roots).filter("size > 2 and set_key != leader").join(sketches, "set_key").select(
+        "band", "set_key", "root", "n_shingles", "bands", "low_bits")
     left, right = rest.alias("l"), rest.alias("r")
     late = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.set_key") < F.col("r.set_key"))
                      & (F.col("l.root") != F.col("r.root")) & similar("l", "r", threshold)
