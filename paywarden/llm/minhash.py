@@ -187,6 +187,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     def confirm(pairs: DataFrame) -> DataFrame:
         return stored(confirmed(docs, signed, stored(pairs, "pairs"), n, threshold), "confirmed")
 
+    def extended(roots: DataFrame, more: DataFrame) -> DataFrame:
+        """The components with further links; a node's root stands for all links that it had before."""
+        return stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+
     def still_open(roots: DataFrame) -> DataFrame:
         """Members, with their own and their leader's root, of the buckets that hold several components."""
         now = buckets.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
@@ -197,11 +201,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
         return now.join(several.select("band", "leader_root"), "band")
 
     first = buckets.filter(F.col("set_key") != F.col("leader")).groupBy(F.col("set_key").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    links = confirm(estimated(first))
-    roots = stored(components(links), "roots")
+    roots = stored(components(confirm(estimated(first))), "roots")
     star = still_open(roots).filter("root != leader_root").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
-    links = stored(links.union(confirm(estimated(star))), "all-links")
-    roots = stored(components(links), "roots")
+    roots = extended(roots, confirm(estimated(star)))
     # Who is left in a bucket of several components has been compared with its leader, but not with the others there.
     rest = still_open(roots).filter("size > 2 and set_key != leader").join(sketches, "set_key").select(
         "band", "set_key", "root", "n_shingles", "bands", "low_bits")
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
                      ).select(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b")).distinct()
     more = confirm(late)
     if not more.isEmpty():
-        roots = stored(components(links.union(more)), "roots")
+        roots = extended(roots, more)
     rooted = classes.select("set_key", "doc_id").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("set_key", "component_id")
