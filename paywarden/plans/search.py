@@ -103,15 +103,16 @@ def hybrid_search(c: Context) -> DataFrame:
 
 @query("embed_missing", """
     SELECT v.vec_id, v.embedding IS NULL AND d.text IS NOT NULL AS embedded_now,
-           v.embedding IS NOT NULL OR d.text IS NOT NULL AS has_vector, 64 AS n_dims
-    FROM vectors v LEFT JOIN documents d ON d.doc_id = v.vec_id""")
+           v.embedding IS NOT NULL OR d.text IS NOT NULL AS has_vector,
+           CAST(coalesce(len(v.embedding), CASE WHEN d.text IS NOT NULL THEN 64 END) AS INTEGER) AS n_dims
+    FROM partly_embedded v LEFT JOIN documents d ON d.doc_id = v.vec_id""")
 def embed_missing(c: Context) -> DataFrame:
     texts = c.t.read("documents").select(F.col("doc_id").alias("vec_id"), "text")
-    rows = c.t.vectors().select("vec_id", "embedding", F.col("embedding").isNull().alias("missing")).join(
+    rows = c.t.partly_embedded().select("vec_id", "embedding", F.col("embedding").isNull().alias("missing")).join(
         texts, "vec_id", "left")
     return S.embed_missing(rows, S.hashing_encoder(64)).select(
         "vec_id", (F.col("missing") & F.col("embedding").isNotNull()).alias("embedded_now"),
-        F.col("embedding").isNotNull().alias("has_vector"), F.lit(64).alias("n_dims"))
+        F.col("embedding").isNotNull().alias("has_vector"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n_dims"))
 
 
 # -- screening ------------------------------------------------------------------------------------

@@ -86,7 +86,7 @@ CURRENT = """SELECT id, status, action_type, strftime(_timestamp, '%Y-%m-%d %H:%
 def feed_files(c: Context) -> tuple[str, object]:
     """The feed as files whose order says nothing about the order of the changes."""
     rows, path = changes.change_feed(c.t.decision_events()), work_dir(c.spark, "change-feed")
-    rows.repartition(6, F.xxhash64("_sort_by")).write.parquet(path)
+    rows.repartition(F.xxhash64("_sort_by")).write.parquet(path)
     return path, rows.schema
 
 
@@ -146,7 +146,7 @@ def cdc_change_counts(c: Context) -> DataFrame:
 def queue_live_refresh(c: Context) -> DataFrame:
     c = c.with_stored_queue()
     actions, log = c.t.case_actions().drop("audit_trail"), work_dir(c.spark, "decisions")
-    actions.repartition(4, "id").write.parquet(log)
+    actions.write.parquet(log)
     queue = c.s.scored.select("payment_id", K.EXPOSURE, K.RECOVERY, "recommended_disposition")
     return feeds.stream_queue_kpis(
         c.spark, log, actions.schema, queue, work_dir(c.spark, "kpis"), work_dir(c.spark, "kpis-state"), 2)
@@ -155,7 +155,7 @@ def queue_live_refresh(c: Context) -> DataFrame:
 @query("flag_ingest_dedup", f"SELECT payment_id, n_signals, {arr('signal_list')}, has_strong_signal FROM summary")
 def flag_ingest_dedup(c: Context) -> DataFrame:
     raw, path = c.t.flag_arrivals(), work_dir(c.spark, "flag-files")
-    raw.repartition(4).write.parquet(path)
+    raw.write.parquet(path)
     pairs = feeds.stream_flag_pairs(c.spark, path, raw.schema, work_dir(c.spark, "pairs"),
                                     work_dir(c.spark, "pairs-state"), files_per_trigger=2)
     return scoring.signal_summary(pairs, c.t.signal_classification()).select(

@@ -254,7 +254,8 @@ CTES: dict[str, str] = {
         SELECT conversation_id, position, created_at, CASE WHEN position % 2 = 0 THEN 'down' ELSE 'up' END AS value
         FROM messages WHERE role = 'assistant' AND conversation_id % 3 = 0""",
     # search
-    "vectors": """
+    "vectors": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings",
+    "partly_embedded": """
         SELECT vec_id, CASE WHEN vec_id % 50 <> 49 THEN CAST(embedding AS DOUBLE[]) END AS embedding FROM embeddings""",
     "playbooks": f"""
         SELECT 'guide-' || CAST(doc_id AS VARCHAR) AS guide_id, 'Guide ' || CAST(doc_id AS VARCHAR) AS title,

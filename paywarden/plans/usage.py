@@ -180,9 +180,9 @@ def endpoint_absence(c: Context) -> DataFrame:
 
 
 @query("coverage_count", """
-    SELECT count(*) AS total_rows, count(embedding) AS embedded_rows FROM vectors""")
+    SELECT count(*) AS total_rows, count(embedding) AS embedded_rows FROM partly_embedded""")
 def coverage_count(c: Context) -> DataFrame:
-    return c.t.vectors().agg(F.count(F.lit(1)).alias("total_rows"), F.count("embedding").alias("embedded_rows"))
+    return c.t.partly_embedded().agg(F.count(F.lit(1)).alias("total_rows"), F.count("embedding").alias("embedded_rows"))
 
 
 SPEND = f"""spend AS (SELECT s.product, coalesce(r.cost, 0) AS cost, coalesce(r.n, 0) AS usage_records,
