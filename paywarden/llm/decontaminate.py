@@ -75,21 +75,27 @@ def similarity(a: Column, b: Column) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, row, item_id, start (word), n_words and similarity: the best window of every document and item that match."""
+    return _matched(docs, benchmark, threshold).drop("text_key")
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """The matches with a hash of the text that they are in."""
     items = stored(benchmark.select(F.col("item_id").cast("bigint"), words_of(F.col("text").cast("string")).alias("item_words")).filter(F.size("item_words") > 0)
                    .withColumn("item", F.monotonically_increasing_id()).withColumn("item_shingles", _shingles(F.col("item_words"))), "items")
-    read = docs.select(F.col("doc_id").cast("bigint"), words_of(F.col("text").cast("string")).alias("words")).withColumn("row", F.monotonically_increasing_id())
+    text = F.col("text").cast("string")
+    read = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("doc"), words_of(text).alias("words")).withColumn("row", F.monotonically_increasing_id())
     seeds = items.select(F.size("item_words").alias("size"), F.posexplode("item_shingles").alias("item_at", "shingle")).distinct()
     # Where a shingle of the benchmark stands; short texts and items meet by their one shingle.
-    standing = read.select("row", "doc_id", F.size("words").alias("n"), "words", F.posexplode(_shingles(F.col("words"))).alias("at", "shingle"))
+    standing = read.select("row", "doc", F.size("words").alias("n"), "words", F.posexplode(_shingles(F.col("words"))).alias("at", "shingle"))
     if seeds.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES:
         places = standing.join(F.broadcast(seeds), "shingle")
     else:  # shuffled without the words, which join again where something was found
         found = stored(standing.select("row", "at", "shingle").join(seeds, "shingle"), "seeds")
-        places = read.select("row", "doc_id", F.size("words").alias("n"), "words").join(found, "row")
+        places = read.select("row", "doc", F.size("words").alias("n"), "words").join(found, "row")
     shift = F.explode(F.sequence(F.lit(-SHIFT), F.lit(SHIFT)))
     starts = places.withColumn("shift", shift).withColumn("start", F.greatest(F.least(F.col("at") - F.col("item_at") + F.col("shift"), F.col("n") - F.col("size")), F.lit(0)))
     windows = starts.groupBy("row", "start", "size").agg(
-        F.first("doc_id").alias("doc_id"), F.first(F.slice("words", F.col("start") + 1, F.col("size"))).alias("window"))
+        F.first("doc").alias("doc"), F.first(F.slice("words", F.col("start") + 1, F.col("size"))).alias("window"))
     printed = stored(windows.withColumn("print", _fingerprint(F.col("window"))).withColumn("shingles", _shingles(F.col("window"))).drop("window"), "windows")
     indexed = items.select("item", "item_id", "item_shingles", F.size("item_words").alias("size"), _fingerprint(F.col("item_words")).alias("item_print")).withColumn(
         "block", F.explode(F.array_distinct(_blocks(F.col("item_print"), True))))
@@ -97,13 +103,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Da
     near = F.bit_count(F.col("p.print").bitwiseXOR(F.col("i.item_print"))) <= RADIUS
     met = probes.alias("p").join(bounded(indexed, BROADCAST_SHINGLES).alias("i"),
                                  (F.col("p.block") == F.col("i.block")) & (F.col("p.size") == F.col("i.size")) & near)
-    judged = met.select("row", "doc_id", "start", F.col("p.size").alias("n_words"), "item", "item_id",
+    judged = met.select("row", "doc", "start", F.col("p.size").alias("n_words"), "item", "item_id",
                         similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity")).filter(F.col("similarity") >= threshold)
-    best = judged.groupBy("row", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "doc_id", "item_id", "n_words")).alias("m"))
-    return best.select("m.doc_id", "row", "m.item_id", (-F.col("m.s")).alias("start"), "m.n_words", "m.similarity")
+    best = judged.groupBy("row", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "doc", "item_id", "n_words")).alias("m"))
+    return best.select("m.doc.doc_id", "m.doc.text_key", "row", "m.item_id", (-F.col("m.s")).alias("start"), "m.n_words", "m.similarity")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows that share an id, null included, go together."""
-    found = stored(matches(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of ``docs`` that hold no item; the text decides, so rows that share an id, null included, are judged each on their own."""
+    found = stored(_matched(docs, benchmark, 0.8).select("doc_id", "text_key").distinct(), "contaminated").alias("f")
+    d = docs.alias("d")
+    return d.join(found, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("f.doc_id"))
+                  & (F.xxhash64(F.col("d.text").cast("string")) == F.col("f.text_key")), "left_anti")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paywarden.llm import words as W
 from paywarden.llm.components import components
@@ -37,6 +38,7 @@ DEVIATIONS = 5
 #: Longs of the coarse estimate that is taken before the one from all of them.
 COARSE = 8
 
+KEY = "_set_key"
 SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, low_bits array<bigint>"
 
 
@@ -151,8 +153,14 @@ def confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, thre
     """The pairs of set digests (a, b) whose full sets are as similar as asked; only texts in a pair are read again."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
     ids = signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).join(needed, "set_key").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_set_writer(n), "set_key binary, members array<bigint>"), "sets").dropDuplicates(["set_key"])
+    read = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    layout = "set_key binary, members array<bigint>"
+    sets = read.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_writer(n), layout)
+    if not signed.filter(F.col("doc_id").isNull() & F.col("set_key").isNotNull()).isEmpty():
+        # No id leads to a set whose ids are all null; the set itself does.
+        nameless = read.filter(F.col("doc_id").isNull()).select("text").mapInArrow(_set_writer(n), layout).dropDuplicates(["set_key"])
+        sets = sets.union(nameless.join(needed, "set_key", "left_semi").select("set_key", "members"))
+    sets = stored(sets, "sets").dropDuplicates(["set_key"])
     a = sets.select(F.col("set_key").alias("a"), F.col("members").alias("members_a"))
     b = sets.select(F.col("set_key").alias("b"), F.col("members").alias("members_b"))
     shared = F.size(F.array_intersect("members_a", "members_b"))
@@ -160,8 +168,8 @@ def confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, thre
         shared * 100 >= (F.size("members_a") + F.size("members_b") - shared) * threshold).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, set_key, component_id and kept for every row of ``docs`` (doc_id, text).
+def _rooted(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``docs``, and set_key, doc_id (the smallest) and root of every distinct set.
 
     Links join texts with 100 * intersection >= threshold * union. Each text is compared with the smallest leader of its
     buckets first, which makes most of a large group one component; then with the leaders of other components only; then
@@ -217,6 +225,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
         roots = extended(roots, more)
     rooted = classes.select("set_key", "doc_id").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
+    return signed, rooted
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, set_key, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    signed, rooted = _rooted(docs, n, threshold)
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("set_key", "component_id")
     return signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
         "doc_id", "n_shingles",
@@ -224,14 +238,43 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _keyed(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with the digest of each row's set (null for an empty set) as the last column, ``KEY``."""
+    at, names = docs.columns.index("text"), [*docs.columns, KEY]
+
+    def run(batches):
+        for batch in batches:
+            keys = [None] * batch.num_rows
+            for i, found in _sets(batch.column(at), n):
+                if len(found):
+                    keys[i] = _key(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=names)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(KEY, T.BinaryType())]))
+
+
 def without_copies(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one row left of every group; a row with a null id stays unless its group has an id."""
-    judged = stored(near_duplicates(docs, n, threshold), "judged")
-    gone = judged.filter(~F.col("kept") & F.col("component_id").isNotNull())
-    # An id that comes twice with the same set: one of its rows stays.
-    twice = stored(judged.filter("kept").groupBy("doc_id", "set_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id").distinct(), "twice")
-    left = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` with one row left of every group, and all rows without words.
+
+    The row left has the smallest id of its group, a null id only where the group has no other, then the smallest set
+    digest. Rows are told apart by id and set, so an id that comes with several texts loses only those that are copies;
+    of rows alike in both, the one with the smallest text and other plain columns is left.
+    """
+    signed, rooted = _rooted(docs, n, threshold)
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set_key")
+    survivors = rooted.groupBy("root").agg(F.min(rank).alias("s")).select("s.doc_id", "s.set_key")
+    rows = signed.filter(F.col("set_key").isNotNull()).groupBy("doc_id", "set_key").agg(F.count(F.lit(1)).alias("n"))
+    r, s = rows.alias("r"), survivors.withColumn("survives", F.lit(True)).alias("s")
+    same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.set_key") == F.col("s.set_key"))
+    judged = stored(r.join(s, same, "left").filter("survives is null or n > 1").select("r.*", "survives"), "judged")
+
+    def among(frame: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        d, k = frame.alias("d"), keys.alias("k")
+        return d.join(k, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{KEY}") == F.col("k.set_key")), how)
+    left = among(_keyed(docs, n), judged.filter("survives is null"), "left_anti")
+    twice = judged.filter("survives")
     if twice.isEmpty():
-        return left
-    single = left.join(twice, "doc_id", "left_anti").select(docs.columns)
-    return single.union(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+        return left.select(docs.columns)
+    single = among(left, twice, "left_anti").select(docs.columns)
+    plain = [c.name for c in docs.schema.fields if isinstance(c.dataType, T.AtomicType) and c.name != "text"]
+    one = among(left, twice, "left_semi").groupBy(KEY).agg(F.min_by(F.struct(*docs.columns), F.struct("text", *plain)).alias("row"))
+    return single.union(one.select("row.*"))

@@ -73,6 +73,44 @@ def test_minhash_equals_all_pairs(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_every_group_is_left_by_row(spark):
+    def near(words, *places):
+        return " ".join(f"{w}x" if k in places else w for k, w in enumerate(words))
+    base, other, more = prose(70, 200).split(), prose(71, 200).split(), prose(72, 60)
+    # A chain whose middle text has no id: its ends are linked through it only.
+    chain = [near(base, *range(0, 24, 4)), near(base), near(base, *range(150, 170, 4))]
+    texts = [(3, "t one of the texts"), (5, "t one of the texts"), (5, "t two is not like it"),  # a copy and a text of its own, one id
+             (9, chain[0]), (None, chain[1]), (8, chain[2]), (None, chain[1]),
+             (20, near(other)), (20, near(other, 100)), (None, near(other)),  # one id with two sets of one group
+             (30, more), (30, more), (30, "quite another text here"), (30, more.upper()),
+             (None, prose(73, 50)), (None, prose(73, 50)), (None, prose(74, 50)), (None, None), (None, ""), (3, None), (3, None)]
+    sets = [words4(t, 4) for _, t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    assert up[3] == up[4] == up[5] and 100 * len(sets[3] & sets[5]) < 80 * len(sets[3] | sets[5])
+    rows = spark.createDataFrame([(i, t, "clash", str(k)) for k, (i, t) in enumerate(texts)], DOCS)
+    left = [int(r["row"]) for r in minhash.without_copies(rows, n=4).collect()]
+    groups = [u for u, s in zip(up, sets) if s]
+    assert sorted(up[k] for k in left if sets[k]) == sorted(set(groups))  # one of each group
+    assert [k for k in sorted(left) if not sets[k]] == [k for k, s in enumerate(sets) if not s]  # and all without words
+    for k in left:
+        ids = [texts[i][0] for i in range(len(texts)) if up[i] == up[k] and texts[i][0] is not None]
+        assert not sets[k] or texts[k][0] == min(ids, default=None)
+    got = minhash.near_duplicates(rows, n=4)
+    assert {r.component_id for r in got.filter("doc_id in (8, 9)").collect()} == {8}
+
+
+def test_a_passage_takes_only_its_own_row(spark):
+    item = prose(11, 60)
+    texts = [(None, item), (None, prose(12, 80)), (4, prose(13, 20) + " " + item), (4, prose(14, 90)), (4, None), (None, None)]
+    rows = spark.createDataFrame([(i, t, "clash", str(k)) for k, (i, t) in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert sorted(r["row"] for r in decontaminate.without_benchmark(rows, bench).collect()) == ["1", "3", "4", "5"]
+
+
 def test_estimates_follow_the_similarity(spark):
     pick = np.random.default_rng(1).integers(1, 1 << 62, 8000, dtype=np.uint64)
     base, true, rows = pick[:3000], [], []
