@@ -3,7 +3,8 @@
 The tags of a page become a tree. Every paragraph gives points for its commas and its length to its parent and half of them
 to its grandparent, each container's sum is discounted by the share of its text that stands in links, and the best
 container is the article. Its blocks stay, and so do siblings that score nearly as well. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are no part of the tree that is scored.
+sidebars, notices, adverts, forms, scripts, styles and reader comments are no part of the tree that is scored. What only its class,
+id or role calls so stays when it holds an article or half of the page's text, and then counts for less.
 
 Cases: null and empty html, and pages without text, give the empty text. Unclosed and misplaced tags are repaired as browsers
 do for the common ones. Repeated rows are read one by one, ids and URLs may be null, extra columns are ignored, pages of any
@@ -26,7 +27,7 @@ travels(__name__)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
                    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>/=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 "
              "h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -36,17 +37,24 @@ FURNITURE = set("ad ads advert advertisement adverts advertising banner breadcru
                 "cookies consent disclaimer disqus footer gdpr masthead menu menubar nav navbar navigation newsletter notice notification "
                 "pager pagination popup promo promoted recommended related replies respond search share sharing sidebar "
                 "signup social sponsor sponsored subscribe toolbar widget".split())
+#: Words that a name may have beside those: "site-footer" is furniture; "with-sidebar" and "search-results" are not.
+PLAIN = set("area articles bar block bottom box buttons container form global icons inner item items left link links list main outer page post "
+            "posts primary right secondary section site top wrap wrapper".split())
 CONTENT = set("article main".split())
+PROSE = set("h1 h2 h3 h4 h5 h6 hgroup p".split())
+#: What prose in an element with such a name counts for.
+LOWERED = 0.5
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "dropped", "named", "holds", "chars", "points", "length", "linked")
 
-    def __init__(self, tag, parent, dropped):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
-        self.points = self.length = self.linked = 0
+    def __init__(self, tag, parent, dropped, named=False):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        self.holds = False  # an article or main
+        self.chars = self.points = self.length = self.linked = 0
 
 
 def _furniture(tag: str, source: str, parent: Node) -> bool:
@@ -54,8 +62,19 @@ def _furniture(tag: str, source: str, parent: Node) -> bool:
         return True
     if tag == "header" and not _inside(parent, CONTENT):
         return True
+    return False
+
+
+def _named(tag: str, source: str, parent: Node) -> bool:
+    """Whether a whole class, id or role is a name of furniture; every word of it is one or a plain word."""
     names = " ".join(m.strip("\"'") for m in NAMED.findall(source)).lower()
-    return bool(names) and tag not in CONTENT and tag != "body" and not FURNITURE.isdisjoint(re.split(r"[^a-z]+", names))
+    if not names or tag in CONTENT or tag in ("body", "html") or tag in PROSE and _inside(parent, CONTENT):
+        return False
+    for name in names.split():
+        words = set(re.split(r"[^a-z]+", name)) - {""}
+        if not FURNITURE.isdisjoint(words) and words <= FURNITURE | PLAIN:
+            return True
+    return False
 
 
 def _inside(node: Node | None, tags) -> bool:
@@ -129,9 +148,39 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         elif tag in ("tr", "td", "th"):
             close({"tr", "td", "th"} if tag == "tr" else {"td", "th"}, {"table", "tr"} if tag != "tr" else {"table"})
         if tag not in VOID:
-            at = Node(tag, at, at.dropped or _furniture(tag, token, at))
+            at = Node(tag, at, at.dropped or _furniture(tag, token, at), _named(tag, token, at))
+            up = at.parent if tag in CONTENT else None
+            while up is not None:
+                up.holds, up = True, up.parent
     flush()
-    return out
+    return _without_named(out)
+
+
+def _without_named(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks outside elements with furniture names; all of them if there are no others."""
+    total = 0
+    for node, text, _ in found:
+        total += len(text)
+        while node is not None:
+            node.chars += len(text)
+            node = node.parent
+
+    def stays(node: Node | None) -> bool:
+        while node is not None:
+            if node.named and not node.holds and 2 * node.chars < total:
+                return False
+            node = node.parent
+        return True
+    return [b for b in found if stays(b[0])] or found
+
+
+def _lowered(node: Node | None) -> bool:
+    """Whether an element with a furniture name is around it, inside the article if there is one."""
+    while node is not None and node.tag not in CONTENT:
+        if node.named and not node.holds:
+            return True
+        node = node.parent
+    return False
 
 
 def main_text(page: str | None) -> str:
@@ -141,7 +190,7 @@ def main_text(page: str | None) -> str:
     containers: dict[int, Node] = {}
     for node, text, linked in found:
         holder = node if node.tag in CONTENT or node.tag in ("div", "section", "td", "body", "html") or not node.parent else node.parent
-        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - min(1, linked / len(text)))
+        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - min(1, linked / len(text))) * (LOWERED if _lowered(node) else 1)
         for weight, up in ((1.0, holder), (0.5, holder.parent)):
             if up is not None:
                 up.points += weight * points

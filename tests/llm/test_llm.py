@@ -185,6 +185,22 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "A text that is long enough, with commas, and with more than one clause, to be the main part of the page."
+
+
+@pytest.mark.parametrize("html, text", [
+    *[(f"<div {names}><article><p>{LONG}</p></article></div>", LONG)
+      for names in ("class='page no-sidebar'", "class='layout with-sidebar'", "class='has-banner'", "id=sidebar", "class='widget'")],
+    (f"<section id='search-results'><p>{LONG}</p></section><div class='ad'>buy</div>", LONG),
+    (f"<div class='widget'><p>{LONG}</p></div><div class='site-footer'>no</div>", LONG),  # holds most of the text
+    (f"<article><h2 id='related-work'>Related</h2><p class='notice'>{LONG}</p><h2 class='share'>Share</h2></article>", f"Related\n\n{LONG}\n\nShare"),
+    (f"<div data-id='ad'><p>{LONG}</p></div>", LONG), ("<div class='widget'>a</div><div class='widget'>b</div><div class='widget'>c</div>", "a\n\nb\n\nc"),
+    (f"<article><p>{LONG}</p><div class='related-posts'>no</div></article><div id='comment-list'><p>{'no ' * 20}</p></div>", LONG),
+    (f"<div id='comments'><p>{LONG} {LONG}</p></div><article><p>{LONG}</p></article>", LONG)])
+def test_names_alone_lose_no_article(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>a</p>" * 3, "x"), (1, "u", "<p>a</p>" * 3, "x")], "page_id bigint, url string, html string, text string")
     got = [tuple(r) for r in html_text.extracted(pages).collect()]
