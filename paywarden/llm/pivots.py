@@ -6,8 +6,8 @@ descriptions share enough reference points, and each pair is taken in the list o
 exact cosine then decides. Lists are cut into blocks of bounded size and every two blocks of a list meet in a task of their own, which
 returns the number of links of each vector and a spanning forest of them, so a large group never becomes rows of pairs.
 
-Cases: a vector that is null, zero, or holds a null or a non-finite component links with nothing, and so do vectors of
-another length than most. Equal vectors are one class with a size; repeated ids are rows of their own; a null id is counted
+Cases: a vector that is null, zero, or holds a null or a non-finite component links with nothing. Vectors of each length have
+reference points and lists of their own, so only vectors of one length meet. Equal vectors are one class with a size; repeated ids are rows of their own; a null id is counted
 as a link but names no component. Empty in, empty out; extra columns are ignored.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paywarden.llm.components import components
@@ -56,14 +56,26 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _describer(points: np.ndarray, nearest: int):
+def _numbered(points: dict[int, np.ndarray]) -> dict[int, int]:
+    """The number of each length's first reference point; no two lengths share a number."""
+    first, at = {}, 0
+    for length in sorted(points):
+        first[length], at = at, at + len(points[length])
+    return first
+
+
+def _describer(points: dict[int, np.ndarray], nearest: int):
+    first = _numbered(points)
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                unit = directions(_matrix(batch.column(1)))
-                order = np.argsort(-(unit @ points.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
+            lengths = np.diff(batch.column(1).offsets.to_numpy())
+            for length in np.unique(lengths).tolist():
+                rows = batch.take(pa.array(np.flatnonzero(lengths == length)))
+                unit = directions(_matrix(rows.column(1)))
+                order = (np.argsort(-(unit @ points[length].T), axis=1, kind="stable")[:, :nearest] + first[length]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(list(unit), pa.list_(pa.float64())), pa.array(list(order), pa.list_(pa.int32()))],
+                    [rows.column(0), pa.array(list(unit), pa.list_(pa.float64())), pa.array(list(order), pa.list_(pa.int32()))],
                     names=["node", "unit", "pivots"])
     return run
 
@@ -104,15 +116,19 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[int]:
     return kept
 
 
-def _linker(points: int, shared: int, threshold: float):
+def _linker(points: dict[int, np.ndarray], shared: int, threshold: float):
+    first, counts = _numbered(points), {length: len(p) for length, p in points.items()}
+
     def run(key, left, right):
         def block(table):
-            return (table["node"].to_numpy(), _matrix(table["unit"].combine_chunks()), _matrix(table["pivots"].combine_chunks()), table["size"].to_numpy())
+            unit = _matrix(table["unit"].combine_chunks())
+            return (table["node"].to_numpy(), unit, _matrix(table["pivots"].combine_chunks()) - first[unit.shape[1]], table["size"].to_numpy())
         pivot, same = key[0].as_py(), key[1].as_py() == key[2].as_py()
         if not left.num_rows or not right.num_rows:
             return _links([], [], [], [])
         a, b = block(left), block(right)
-        i, j = _block_links(a, b, same, pivot, points, shared, threshold)
+        length = a[1].shape[1]
+        i, j = _block_links(a, b, same, pivot - first[length], counts[length], min(shared, a[2].shape[1]), threshold)
         offset = 0 if same else len(a[0])
         kept = _forest(i, j + offset)
         nodes = np.concatenate([a[0], b[0]])
@@ -140,16 +156,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, pivots: int = PIVOT
     grouped = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding"))
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    common = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
+    place = F.row_number().over(Window.partitionBy("length").orderBy(F.xxhash64("embedding"), "embedding"))
+    sample = classes.select(F.size("embedding").alias("length"), "embedding").withColumn("place", place).filter(F.col("place") <= 4 * pivots).orderBy("length", "place").toArrow()
+    if not sample.num_rows:
         return keyed.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
                             F.col("vec_id").isNotNull().alias("kept"))
-    whole = classes.filter(F.size("embedding") == common.d)
-    sample = whole.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(4 * pivots).toArrow()
-    points = spread_points(directions(_matrix(sample["embedding"].combine_chunks())), pivots)
-    nearest = min(nearest, len(points))
-    described = whole.select("node", "embedding").mapInArrow(
-        _describer(points, nearest), "node bigint, unit array<double>, pivots array<int>").join(whole.select("node", "size"), "node")
+    lengths, drawn = sample["length"].to_numpy(), sample["embedding"].combine_chunks()
+    points = {length: spread_points(directions(_matrix(drawn.take(pa.array(np.flatnonzero(lengths == length))))), pivots)
+              for length in np.unique(lengths).tolist()}
+    described = classes.select("node", "embedding").mapInArrow(
+        _describer(points, nearest), "node bigint, unit array<double>, pivots array<int>").join(classes.select("node", "size"), "node")
     described = stored(described, "described")
     # Blocks: each list is cut by a hash of the node into as many parts as its length asks for.
     lists = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
@@ -163,7 +179,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, pivots: int = PIVOT
         *[F.col(c).alias(c) for c in ("node", "unit", "pivots", "size")])
     keys = ["pivot", "low", "high"]
     found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _linker(len(points), min(shared, nearest), threshold), "a bigint, b bigint, n bigint"), "links")
+        _linker(points, shared, threshold), "a bigint, b bigint, n bigint"), "links")
     counts = found.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("n = 0").select("a", "b"))
     named = classes.select("key", "node", "vec_id", "size").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

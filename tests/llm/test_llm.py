@@ -161,6 +161,18 @@ def test_vectors_equal_all_pairs_and_recall_is_whole(spark):
     assert pivots.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_every_length_are_linked(spark):
+    rng = np.random.default_rng(5)
+    rows = [(100 * d + i, v) for d, n in ((16, 30), (12, 29), (3, 2), (1, 3)) for c in [rng.normal(size=d)]
+            for i, v in enumerate((c + rng.normal(size=(n, d)) * 0.02).tolist())] + [(7000, [1.0] * 5), (None, [2.0] * 5), (7001, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in pivots.near_vectors(frame, pivots=8, block=8).collect()}
+    for i, v in rows:
+        close = [j for j, w in rows if len(w) == len(v) and np.dot(v, w) >= 0.9 * np.linalg.norm(v) * np.linalg.norm(w)]
+        named = min(j for j in close if j is not None)
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(close) - 1, named, i == named), i
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/de/", "block"), (None, "/", "block")], "host string, path string, verdict string")
     urls = {None: ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "http://A.Example.ORG/es/x?y": ("a.example.org", "/es/x", "example.org/es/", "block"),
