@@ -172,21 +172,22 @@ def _discount_joins(usage: DataFrame, discounts: DataFrame) -> DataFrame:
 def with_discounts(usage: DataFrame, discounts: DataFrame, bounded: bool = False) -> DataFrame:
     """Usage ⟕ discounts on product = SKU or product = billing product.
 
-    While the discounts fit a broadcast, the OR is two hash lookups in a table grouped by key; the union
-    of the two entry lists names a discount row once even when it fits both ways. Larger tables take two
-    disjoint joins. Usage without any entry stays.
+    While the discounts fit a broadcast, the OR is two hash lookups in a table grouped by key; where SKU
+    and billing product are one key its list is taken once. Larger tables take two disjoint joins. Either
+    way equal entries are entries of their own. Usage without any entry stays.
     """
     if not bounded and not fits_broadcast(discounts):
         return _discount_joins(usage, discounts)
     entry = F.struct("order_id", "product", "discount")
-    keyed = discounts.groupBy(F.col("product").alias("k")).agg(F.collect_set(entry).alias("found"))
+    keyed = discounts.groupBy(F.col("product").alias("k")).agg(F.collect_list(entry).alias("found"))
     by_sku = keyed.select(F.col("k").alias("sku_name"), F.col("found").alias("by_sku"))
     by_product = keyed.select(F.col("k").alias("billing_origin_product"), F.col("found").alias("by_product"))
     spread = F.xxhash64("usage_id")
     both = sized_join(usage, by_sku, ["sku_name"], "left", spread=spread, bounded=True)
     both = sized_join(both, by_product, ["billing_origin_product"], "left", spread=spread, bounded=True)
     none = F.array().cast("array<struct<order_id:int,product:string,discount:decimal(10,3)>>")
-    hits = F.array_union(F.coalesce("by_sku", none), F.coalesce("by_product", none))
+    both_ways = F.col("sku_name").eqNullSafe(F.col("billing_origin_product"))
+    hits = F.concat(F.coalesce("by_sku", none), F.when(both_ways, none).otherwise(F.coalesce("by_product", none)))
     return both.select(*usage.columns, F.explode_outer(hits).alias("d")).select(
         *usage.columns, F.col("d.product").alias("discount_product"), F.col("d.discount").alias("discount"))
 

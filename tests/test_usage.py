@@ -51,6 +51,16 @@ def test_or_join_multiplicity(spark, plan):
     assert sorted(map(tuple, got.select(*key).collect()), key=repr) == sorted(map(tuple, want.select(*key).collect()), key=repr)
 
 
+@pytest.mark.parametrize("plan", ["lookup", "joins"])
+def test_or_join_keeps_repeated_entries(spark, plan):
+    u = facts(spark, [("A", "P", DAY), ("B", "B", DAY), ("X", "Y", DAY), (None, "A", DAY), (None, None, DAY)])
+    d = U.discount_table(spark, "A=0.1;P=0.2;B=0.3")
+    d = d.union(d)
+    got = U.with_discounts(u, d, bounded=True) if plan == "lookup" else U._discount_joins(u, d)
+    rows = sorted(((r.usage_id, r.discount) for r in got.select("usage_id", "discount").collect()), key=repr)
+    assert rows == sorted([(0, D("0.100")), (0, D("0.200")), (1, D("0.300")), (3, D("0.100"))] * 2 + [(2, None), (4, None)], key=repr)
+
+
 def test_global_discount_wins(spark, prices):
     u = facts(spark, [("A", "P", dt.datetime(2024, 1, 2))])
     cost = {text: float(U.priced_usage(u, prices, text, dt.date(2024, 1, 30)).collect()[0].usage_usd)
