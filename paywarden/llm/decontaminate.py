@@ -8,7 +8,7 @@ the item's side: of two fingerprints within radius 15 one block differs in at mo
 Candidates are then compared by the weighted similarity of their shingles: sum of the smaller counts over sum of the larger.
 
 Cases: null and empty texts, and items without words, match nothing. An item or a window of fewer than five words is one
-shingle. Repeated items match each on their own, repeated rows of documents are separate, null ids stay null. Empty
+shingle; such items are looked for by runs of their own length, in documents of any length. Repeated items match each on their own, repeated rows of documents are separate, null ids stay null. Empty
 tables give no matches. Extra columns are ignored. Texts of any length are read whole.
 """
 
@@ -33,6 +33,20 @@ def _shingles(words: Column, n: int = SHINGLE) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).when(F.size(words) < n, whole).otherwise(runs)
 
 
+def _short_runs(words: Column, size: int) -> Column:
+    """The one shingle of each run of ``size`` words, fewer than a shingle has."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(0))), lambda w, i: F.xxhash64(
+        F.lit(SHINGLE), F.array_join(F.array(w, *[F.get(words, i + k) for k in range(1, size)]), " ")))
+
+
+def _placed(words: Column, short: list[int]) -> list[Column]:
+    """at and shingle of the text's shingles, and of its runs as long as one of the short items."""
+    if not short:
+        return [F.posexplode(_shingles(words)).alias("at", "shingle")]
+    lists = [_shingles(words), *[_short_runs(words, size) for size in short]]
+    return [F.inline(F.concat(*[F.transform(x, lambda h, i: F.struct(i.alias("at"), h.alias("shingle"))) for x in lists])).alias("at", "shingle")]
+
+
 def _fingerprint(words: Column) -> Column:
     """SimHash of the words and word pairs: bit by bit, whether more of their hashes have it set than not.
 
@@ -85,14 +99,16 @@ def _matched(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFra
     text = F.col("text").cast("string")
     read = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("doc"), words_of(text).alias("words")).withColumn("row", F.monotonically_increasing_id())
     seeds = items.select(F.size("item_words").alias("size"), F.posexplode("item_shingles").alias("item_at", "shingle")).distinct()
-    # Where a shingle of the benchmark stands; short texts and items meet by their one shingle.
-    standing = read.select("row", "doc", F.size("words").alias("n"), "words", F.posexplode(_shingles(F.col("words"))).alias("at", "shingle"))
+    # Where a shingle of the benchmark stands; items shorter than a shingle stand where a run of their length does.
+    short = sorted(r[0] for r in items.filter(F.size("item_words") < SHINGLE).select(F.size("item_words")).distinct().collect())
+    standing = read.select("row", "doc", F.size("words").alias("n"), "words", *_placed(F.col("words"), short))
     if seeds.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES:
         places = standing.join(F.broadcast(seeds), "shingle")
     else:  # shuffled without the words, which join again where something was found
         found = stored(standing.select("row", "at", "shingle").join(seeds, "shingle"), "seeds")
         places = read.select("row", "doc", F.size("words").alias("n"), "words").join(found, "row")
-    shift = F.explode(F.sequence(F.lit(-SHIFT), F.lit(SHIFT)))
+    around = F.when(F.col("size") < SHINGLE, F.lit(0)).otherwise(F.lit(SHIFT))  # a short item has its words or does not match
+    shift = F.explode(F.sequence(-around, around))
     starts = places.withColumn("shift", shift).withColumn("start", F.greatest(F.least(F.col("at") - F.col("item_at") + F.col("shift"), F.col("n") - F.col("size")), F.lit(0)))
     windows = starts.groupBy("row", "start", "size").agg(
         F.first("doc").alias("doc"), F.first(F.slice("words", F.col("start") + 1, F.col("size"))).alias("window"))

@@ -242,6 +242,23 @@ def test_decontamination_finds_items_and_near_items(spark):
     assert decontaminate.matches(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_longer_texts(spark):
+    items = {1: "alpha", 2: "beta gamma", 3: "delta, Epsilon zeta", 4: "eta theta iota kappa", 5: "one two three four five", 6: "beta gamma", 7: "ab c"}
+    texts = [None, "", "alpha", "x alpha", f"{prose(60, 40)} BETA gamma {prose(61, 30)} alpha", "delta epsilon zeta eta theta iota kappa",
+             f"eta theta iota lambda {prose(62, 9)}", "alphabet gamma beta a bc", f"{prose(63, 9)} one two three four five beta gamma", "beta-gamma beta gamma"]
+    words = [re.findall(r"[a-z0-9]+", (t or "").lower()) for t in texts]
+    wanted = {}
+    for d, w in enumerate(words):
+        for i, item in items.items():
+            x = re.findall(r"[a-z0-9]+", item.lower())
+            at = [k for k in range(len(w) - len(x) + 1) if w[k:k + len(x)] == x]
+            if at:
+                wanted[d, i] = (at[0], len(x), 1.0)
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = decontaminate.matches(docs(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in got} == wanted and len(got) == len(wanted) > 10
+
+
 def test_secrets(spark):
     text = 'é Password: "abc" token==hunter22x AKIA' + "B2" * 9 + " " + "0af1" * 7 + " end"
     values = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(300)]
