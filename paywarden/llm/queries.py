@@ -1,4 +1,4 @@
-"""The ten queries with production parameters, each over its whole table, and SQL where it can say the same."""
+"""The queries with production parameters, each over its whole table, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywarden.llm import bpe, decontaminate, html_text, licenses, minhash, pivots, quality, secret_scan, toxicity, url_rules
+from paywarden.llm import (
+    alignment, bpe, conversations, decontaminate, html_text, licenses, minhash, pivots, quality, secret_scan, super_kmers, toxicity, url_rules)
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+BYTE_VOCABULARY, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +81,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = super_kmers.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.summaries(conversations.damaged(rows)).withColumnRenamed("conv_id", "_id")
+    every = rows.select(F.col("conv_id").cast("bigint")).distinct()
+    zeros = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left").select(
+        "conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_MODEL))
+    digested = found.withColumn("groups_sha256", F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")).drop("groups")
+    return alignment.with_counts(digested)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_toxicity, op3_decontamination, op4_embedding_dedup, op5_html_extraction, op6_quality, op7_license_scan,
-    op8_minhash_dedup, op9_secret_scan, op10_bpe)}
+    op8_minhash_dedup, op9_secret_scan, op10_bpe, op11_substring_dedup, op12_conversation_repair, op13_tokenizer_alignment)}
 
 _REACH = """
 reach(a, b) AS (
@@ -130,4 +152,18 @@ WITH RECURSIVE words AS (
 ), nodes AS (SELECT DISTINCT a FROM both_ways),""" + _REACH + """
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+    "op11_substring_dedup": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM words, unnest(range(1, len(w) - 48)) t(i)
+), least AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s
+), covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM windows JOIN least USING (s) WHERE doc_id > least
+), gone AS (SELECT r, count(*) AS n, list(p) AS places FROM covered GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+                   ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(places, i)), ' ') END) AS kept_sha256
+FROM words LEFT JOIN gone USING (r)""",
 }
