@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paywarden.functions import text as X
+from paywarden.functions.stems import stem_sql
 from paywarden.operators import search as S
+from paywarden.operators import text_index as I
 from paywarden.plans.registry import Context, query
 from paywarden.session import work_dir
 from paywarden.sources.tables import pick
 
-ASK = "where the and of anand"
+ASK = "where the anding of rester anand"
 
 # Openings put in front of the messages: unscoped requests first, then scoped ones.
 PHRASES = [
@@ -25,15 +27,16 @@ TOKENS = """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{
 
 
 def _bm25_sql(k: int) -> str:
-    terms = S.query_terms(ASK)
-    values = ", ".join(f"('{w}')" for w in terms)
-    return f"""{TOKENS}, ask(term) AS (VALUES {values}),
-    hits AS (SELECT d.doc_id, len(d.t) AS dl, a.term, len(list_filter(d.t, lambda x: x = a.term)) AS tf FROM toks d, ask a),
-    df AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM hits GROUP BY 1),
+    values = ", ".join(f"('{w}')" for w in S.query_terms(ASK))
+    return f"""{TOKENS}, words AS (SELECT doc_id, unnest(t) AS term FROM toks), ask(term) AS (VALUES {values}),
+    vocabulary AS (SELECT term FROM words UNION SELECT term FROM ask), {stem_sql('vocabulary')},
+    asked AS (SELECT DISTINCT stem FROM ask JOIN stems ON ask.term = stems.term),
+    hits AS (SELECT doc_id, stems.stem, count(*) AS tf FROM words JOIN stems ON words.term = stems.term JOIN asked ON asked.stem = stems.stem GROUP BY 1, 2),
+    df AS (SELECT stem, count(*) AS df FROM hits GROUP BY 1),
     coll AS (SELECT count(*) AS n, CAST(sum(len(t)) AS DOUBLE) / count(*) AS avgdl FROM toks),
     textrank AS (SELECT h.doc_id AS doc, round(-sum(ln(1 + (c.n - df.df + 0.5) / (df.df + 0.5::DOUBLE)) * h.tf * 2.2::DOUBLE
-          / (h.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * h.dl / c.avgdl))), 6) AS score
-      FROM hits h JOIN df ON h.term = df.term, coll c GROUP BY 1 HAVING sum(h.tf) > 0
+          / (h.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(d.t) / c.avgdl))), 6) AS score
+      FROM hits h JOIN df ON h.stem = df.stem JOIN toks d ON d.doc_id = h.doc_id, coll c GROUP BY 1
       ORDER BY score, doc LIMIT {k})"""
 
 
@@ -47,7 +50,15 @@ def _cosine_sql(queries: str, k: int) -> str:
 
 @query("bm25_search", f"WITH {_bm25_sql(10)} SELECT doc, score FROM textrank")
 def bm25_search(c: Context) -> DataFrame:
-    return S.bm25(c.t.text_documents(), "doc_id", "text", ASK, 10)
+    return I.bm25(c.t.text_documents(), "doc_id", "text", ASK, 10, work_dir(c.spark, "text-index"))
+
+
+@query("term_stems", f"""
+    WITH {TOKENS}, words AS (SELECT unnest(t) AS term FROM toks), {stem_sql('words')} SELECT term, stem FROM stems""")
+def term_stems(c: Context) -> DataFrame:
+    """Every distinct term of the texts with its stem."""
+    words = c.t.text_documents().select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    return I.stems_of(words)
 
 
 @query("token_index", f"""
@@ -92,7 +103,7 @@ def vector_top_k_ann(c: Context) -> DataFrame:
            round(coalesce(1.0::DOUBLE / (60 + text_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0), 9) AS score
     FROM t FULL JOIN v ON t.doc = v.doc ORDER BY score DESC, doc LIMIT 10""")
 def hybrid_search(c: Context) -> DataFrame:
-    best = S.bm25(c.t.text_documents(), "doc_id", "text", ASK, 50)
+    best = I.bm25(c.t.text_documents(), "doc_id", "text", ASK, 50, work_dir(c.spark, "text-index"))
     # at most fifty rows are ranked here
     text_hits = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "doc")))
     vectors = c.t.vectors()
