@@ -9,6 +9,7 @@ from paywarden.functions import text as X
 from paywarden.functions.stems import stem_sql
 from paywarden.operators import search as S
 from paywarden.operators import text_index as I
+from paywarden.operators import vector_index as V
 from paywarden.plans.registry import Context, query
 from paywarden.session import work_dir
 from paywarden.sources.tables import pick
@@ -83,16 +84,36 @@ def vector_top_k(c: Context) -> DataFrame:
                           S.request_vectors(vectors, "vec_id", "embedding", [0, 1, 2, 3, 4]), 5)
 
 
-@query("vector_top_k_ann")
+def _asked_vectors(c: Context) -> DataFrame:
+    return c.t.vectors().filter("vec_id % 50 = 0")
+
+
+_EXACT_SQL = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL),
+    sims AS (SELECT q.query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.qe), 9) AS s FROM embeddings v, q WHERE v.embedding IS NOT NULL),
+    vecrank AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM sims) WHERE rank <= 5)"""
+
+
+@query("vector_top_k_ann", f"""
+    WITH {_EXACT_SQL} SELECT query_id, vec_id, round(s, 5) AS score, rank, true AS recalled FROM vecrank""")
 def vector_top_k_ann(c: Context) -> DataFrame:
-    """Approximate hits, each marked with whether the exact search also returns it."""
-    vectors, path = c.t.vectors(), work_dir(c.spark, "ann")
-    asked = S.request_vectors(vectors, "vec_id", "embedding", [0, 1, 2, 3, 4])
-    model = S.ann_index(vectors, "vec_id", "embedding", path)
-    exact = S.vector_top_k(vectors, "vec_id", "embedding", asked, 5).select(
-        "query_id", "vec_id", F.lit(True).alias("in_exact"))
-    return S.ann_top_k(c.spark, path, model, "vec_id", asked, 5).join(exact, ["query_id", "vec_id"], "left").withColumn(
-        "in_exact", F.coalesce("in_exact", F.lit(False)))
+    """Exact hits of every vector whose id is divisible by 50, and whether the index returns at least nine tenths of all of them."""
+    path, rows = work_dir(c.spark, "vector-index"), c.t.vectors()
+    book = V.write_index(rows, "vec_id", "embedding", path)
+    exact = V.exact_top_k(rows, "vec_id", "embedding", _asked_vectors(c), 5)
+    share = V.recall(exact, V.near_top_k(c.spark, path, book, "vec_id", "embedding", _asked_vectors(c), 5))
+    return exact.join(F.broadcast(share)).select(
+        "query_id", F.col("key").alias("vec_id"), F.round("score", 5).alias("score"), "rank", (F.col("recall") >= 0.9).alias("recalled"))
+
+
+@query("vector_index_hits")
+def vector_index_hits(c: Context) -> DataFrame:
+    """What the index itself returns for these queries; each hit is marked with whether exact search returns it too."""
+    path, rows = work_dir(c.spark, "vector-index"), c.t.vectors()
+    book = V.write_index(rows, "vec_id", "embedding", path)
+    exact = V.exact_top_k(rows, "vec_id", "embedding", _asked_vectors(c), 5).select("query_id", "key", F.lit(True).alias("in_exact"))
+    near = V.near_top_k(c.spark, path, book, "vec_id", "embedding", _asked_vectors(c), 5)
+    return near.join(exact, ["query_id", "key"], "left").select(
+        "query_id", F.col("key").alias("vec_id"), F.round("score", 5).alias("score"), "rank", F.coalesce("in_exact", F.lit(False)).alias("in_exact"))
 
 
 @query("hybrid_search", f"""

@@ -15,7 +15,7 @@ PATH = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(PATH), reason="no test data")
 QUERIES = load()
 ORACLE = {key: e.sql for key, e in QUERIES.items() if e.sql}
-ROWS_ONLY = {"vector_top_k_ann", "disposition_model"}
+ROWS_ONLY = {"vector_index_hits", "disposition_model"}
 
 
 @pytest.fixture(scope="module")
