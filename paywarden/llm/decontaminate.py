@@ -23,6 +23,8 @@ from paywarden.llm.shared import bounded, stored
 SHINGLE, RADIUS, SHIFT = 5, 15, 2
 #: Benchmark shingles up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_SHINGLES = 500_000
+#: Texts with windows up to this number meet the documents by a broadcast of their places; more by a shuffle.
+BROADCAST_TEXTS = 100_000
 
 
 def _shingles(words: Column, n: int = SHINGLE) -> Column:
@@ -47,27 +49,33 @@ def _placed(words: Column, short: list[int]) -> list[Column]:
     return [F.inline(F.concat(*[F.transform(x, lambda h, i: F.struct(i.alias("at"), h.alias("shingle"))) for x in lists])).alias("at", "shingle")]
 
 
-def _fingerprint(words: Column) -> Column:
-    """SimHash of the words and word pairs: bit by bit, whether more of their hashes have it set than not.
-
-    Sixteen longs of four 16-bit counters each hold the 64 sums, so a window may have up to 32,000 words.
-    """
-    lanes = 0x0001000100010001
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"c{k}") for k in range(16)])
+def _counted(words: Column, per_long: int) -> Column:
+    """SimHash from sums of the 64 bits, ``per_long`` counters to a long."""
+    width = 64 // per_long
+    lanes = F.lit(sum(1 << (width * lane) for lane in range(per_long)))
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"c{k}") for k in range(width)])
     features = F.concat(F.transform(words, lambda w: F.xxhash64(w)),
                         F.transform(words, lambda w, i: F.xxhash64(w, F.coalesce(F.get(words, i + 1), F.lit("")))))
     sums = F.aggregate(features, zero, lambda acc, h: F.struct(*[
-        (acc[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(lanes))).alias(f"c{k}") for k in range(16)]))
+        (acc[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(lanes)).alias(f"c{k}") for k in range(width)]))
     half = F.size(words)  # two features a word: a bit is set by more than half of them
-    bits = []
-    for k in range(16):
-        for lane in range(4):
-            counter = F.shiftrightunsigned(sums[f"c{k}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bits.append(F.when(counter > half, F.shiftleft(F.lit(1).cast("bigint"), k + 16 * lane)).otherwise(F.lit(0).cast("bigint")))
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return total
+
+    def bits(sums: Column) -> Column:
+        total = F.lit(0).cast("bigint")
+        for k in range(width):
+            for lane in range(per_long):
+                counter = F.shiftrightunsigned(sums[f"c{k}"], width * lane).bitwiseAND(F.lit((1 << width) - 1))
+                total = total.bitwiseOR(F.when(counter > half, F.shiftleft(F.lit(1).cast("bigint"), k + width * lane)).otherwise(F.lit(0).cast("bigint")))
+        return total
+    return F.transform(F.array(sums), bits)[0]  # the sums are taken once
+
+
+def _fingerprint(words: Column) -> Column:
+    """SimHash of the words and word pairs: bit by bit, whether more of their hashes have it set than not.
+
+    Counters of 16 bits hold windows of up to 32,767 words, those of 32 bits all others.
+    """
+    return F.when(F.size(words) <= 32_767, _counted(words, 4)).otherwise(_counted(words, 2))
 
 
 def _blocks(print_: Column, flips: bool) -> Column:
@@ -97,21 +105,23 @@ def _matched(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFra
     items = stored(benchmark.select(F.col("item_id").cast("bigint"), words_of(F.col("text").cast("string")).alias("item_words")).filter(F.size("item_words") > 0)
                    .withColumn("item", F.monotonically_increasing_id()).withColumn("item_shingles", _shingles(F.col("item_words"))), "items")
     text = F.col("text").cast("string")
-    read = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("doc"), words_of(text).alias("words")).withColumn("row", F.monotonically_increasing_id())
+    read = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("doc"), words_of(text).alias("words"))
     seeds = items.select(F.size("item_words").alias("size"), F.posexplode("item_shingles").alias("item_at", "shingle")).distinct()
     # Where a shingle of the benchmark stands; items shorter than a shingle stand where a run of their length does.
     short = sorted(r[0] for r in items.filter(F.size("item_words") < SHINGLE).select(F.size("item_words")).distinct().collect())
-    standing = read.select("row", "doc", F.size("words").alias("n"), "words", *_placed(F.col("words"), short))
-    if seeds.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES:
-        places = standing.join(F.broadcast(seeds), "shingle")
-    else:  # shuffled without the words, which join again where something was found
-        found = stored(standing.select("row", "at", "shingle").join(seeds, "shingle"), "seeds")
-        places = read.select("row", "doc", F.size("words").alias("n"), "words").join(found, "row")
+    standing = read.select("doc", F.size("words").alias("n"), *_placed(F.col("words"), short))
+    places = standing.join(bounded(seeds, BROADCAST_SHINGLES), "shingle")
     around = F.when(F.col("size") < SHINGLE, F.lit(0)).otherwise(F.lit(SHIFT))  # a short item has its words or does not match
-    shift = F.explode(F.sequence(-around, around))
-    starts = places.withColumn("shift", shift).withColumn("start", F.greatest(F.least(F.col("at") - F.col("item_at") + F.col("shift"), F.col("n") - F.col("size")), F.lit(0)))
-    windows = starts.groupBy("row", "start", "size").agg(
-        F.first("doc").alias("doc"), F.first(F.slice("words", F.col("start") + 1, F.col("size"))).alias("window"))
+    shifted = places.withColumn("shift", F.explode(F.sequence(-around, around)))
+    # No word travels up to here; the windows are cut where the text is read again.
+    start = F.greatest(F.least(F.col("at") - F.col("item_at") + F.col("shift"), F.col("n") - F.col("size")), F.lit(0))
+    laid = shifted.select("doc.doc_id", "doc.text_key", start.alias("start"), "size").distinct()
+    by_text = stored(laid.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "size")).alias("laid")), "laid")
+    t, texts = bounded(by_text, BROADCAST_TEXTS).alias("t"), docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.text_key") == F.col("t.text_key"))
+    met = texts.join(t, same).withColumn("row", F.monotonically_increasing_id())
+    cut = met.select("row", F.struct("d.doc_id", "d.text_key").alias("doc"), words_of(F.col("text")).alias("words"), F.explode("laid").alias("w"))
+    windows = cut.select("row", "doc", "w.start", "w.size", F.slice("words", F.col("w.start") + 1, F.col("w.size")).alias("window"))
     printed = stored(windows.withColumn("print", _fingerprint(F.col("window"))).withColumn("shingles", _shingles(F.col("window"))).drop("window"), "windows")
     indexed = items.select("item", "item_id", "item_shingles", F.size("item_words").alias("size"), _fingerprint(F.col("item_words")).alias("item_print")).withColumn(
         "block", F.explode(F.array_distinct(_blocks(F.col("item_print"), True))))
