@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paywarden.operators.intervals import interval_join, longest_list
 from paywarden.operators.joins import fits_broadcast, sized_join
 
 SPEND = "decimal(18,2)"
@@ -64,23 +65,28 @@ def usd_prices(list_prices: DataFrame, path: str = "$.effective_list.default") -
         F.try_variant_get("pricing", path, "decimal(38,18)").alias("unit_price_usd"))
 
 
-def _price_join(usage: DataFrame, prices: DataFrame, valid: Column, **size) -> DataFrame:
+#: Price lists with more intervals of one SKU are joined by dyadic nodes, so that usage does not meet each of them.
+LONG_LIST = 64
+
+
+def _price_join(usage: DataFrame, prices: DataFrame, end: Column, closed: bool, long_list: int = LONG_LIST, **size) -> DataFrame:
     """Few SKUs carry most usage, so the price side is broadcast while small and salted otherwise."""
-    return sized_join(usage, prices, ["sku_name", "usage_unit"], "left", residual=valid, spread=F.xxhash64("usage_id"),
-                      **size)
+    keys, start, at = ["sku_name", "usage_unit"], F.col("price_start_time"), F.col("usage_end_time")
+    if longest_list(prices, keys) > long_list:
+        return interval_join(usage, "usage_id", keys, "usage_end_time", prices, "price_start_time", end, closed, **size)
+    valid = (at >= start) & (at <= end if closed else end.isNull() | (at < end))
+    return sized_join(usage, prices, keys, "left", residual=valid, spread=F.xxhash64("usage_id"), **size)
 
 
-def price_half_open(usage: DataFrame, prices: DataFrame) -> DataFrame:
+def price_half_open(usage: DataFrame, prices: DataFrame, **size) -> DataFrame:
     """start <= t < end; an open end never expires. Unmatched usage stays, unpriced."""
-    t = F.col("usage_end_time")
-    end = F.col("price_end_time")
-    return _price_join(usage, prices, (t >= F.col("price_start_time")) & (end.isNull() | (t < end)))
+    return _price_join(usage, prices, F.col("price_end_time"), False, **size)
 
 
 def price_closed(usage: DataFrame, prices: DataFrame, as_of: dt.date, **size) -> DataFrame:
     """start <= t <= end; a usage instant on a shared boundary matches both intervals."""
     until = F.coalesce(F.col("price_end_time"), F.date_add(F.lit(as_of), 1).cast("timestamp_ntz"))
-    return _price_join(usage, prices, F.col("usage_end_time").between(F.col("price_start_time"), until), **size)
+    return _price_join(usage, prices, until, True, **size)
 
 
 def cost() -> Column:

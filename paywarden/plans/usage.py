@@ -41,6 +41,15 @@ def price_join_closed(c: Context) -> DataFrame:
         "usage_id", "billing_origin_product", "unit_price_usd", U.cost().alias("cost_usd"))
 
 
+@query("price_join_by_nodes", """
+    SELECT 'half open' AS rule, usage_id, CAST(unit_price AS DOUBLE) AS unit_price_usd FROM priced_half_open
+    UNION ALL SELECT 'closed', usage_id, CAST(unit_price AS DOUBLE) FROM priced_closed""")
+def price_join_by_nodes(c: Context) -> DataFrame:
+    """Both price joins by dyadic nodes, the way taken for long price lists."""
+    half = U.price_half_open(c.t.usage(), prices(c), long_list=0).select(F.lit("half open").alias("rule"), "usage_id", "unit_price_usd")
+    return half.unionByName(U.price_closed(c.t.usage(), prices(c), USAGE_AS_OF, long_list=0).select(F.lit("closed").alias("rule"), "usage_id", "unit_price_usd"))
+
+
 @query("broadcast_hint", f"""
     WITH per AS (SELECT sku_name, count(*) AS n, CAST({COST} AS DOUBLE) AS cost_usd FROM priced_closed GROUP BY 1)
     SELECT 'broadcast' AS side, * FROM per UNION ALL SELECT 'salted', * FROM per""")
