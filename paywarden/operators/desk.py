@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.functions import rules as R
-from paywarden.operators.joins import salted_join
+from paywarden.operators.joins import salted_join, sized_join
 from paywarden.operators.ranking import distributed_rank
 
 EXPOSURE, RECOVERY = "improper_payment_exposure_usd", "projected_recovery_if_investigated_usd"
@@ -219,17 +219,23 @@ def primary_signal(signals: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.lit("unspecified"))
 
 
-def record_decisions(requests: DataFrame, positions: DataFrame, allow_list: str | None = None) -> DataFrame:
+def record_decisions(requests: DataFrame, positions: DataFrame, allow_list: str | None = None,
+                     supervisors: DataFrame | None = None) -> DataFrame:
     """Approved requests as decision-log rows.
 
     A batch is recorded whole or not at all: it is left out when any of its requests names a payment
-    that is not in the queue or, with an allow-list, comes from someone who is not a supervisor.
+    that is not in the queue or comes from someone who is not a supervisor: not on the allow-list, or not among
+    the ``supervisors`` (identity), a table of any size.
     """
     known = positions.select("payment_id", "signals", F.lit(True).alias("known"))
     looked_up = salted_join(requests, known, "payment_id", "id", requests, "left")
     wrong = F.col("known").isNull()
     if allow_list is not None:
         wrong = wrong | (role_of(F.col("requested_by"), allow_list) != "supervisor")
+    if supervisors is not None:
+        named = supervisors.select(normalise_identity(F.col("identity")).alias("identity")).distinct().withColumn("supervises", F.lit(True))
+        looked_up = sized_join(looked_up.withColumn("identity", normalise_identity(F.col("requested_by"))), named, ["identity"], "left", spread=F.xxhash64("id"))
+        wrong = wrong | F.col("supervises").isNull()
     refused = looked_up.filter(wrong).select("batch_id", F.lit(True).alias("refused")).distinct()
     accepted = salted_join(looked_up, refused, "batch_id", "id", requests, "left").filter(F.col("refused").isNull())
     notes = F.concat(

@@ -12,8 +12,6 @@ from paywarden.plans.twin import dbl, tim
 E, V = K.EXPOSURE, K.RECOVERY
 MEMO_ID = 100  # the payment the single-payment reads look at
 ALLOWED = " USER1, user2 , ,user1 ,user77,User140"
-#: Who may record decisions: three of four users; a batch with a request of anyone else is refused.
-SUPERVISORS = ",".join(f"user{i}" for i in range(2_000) if i % 4)
 
 
 @query("latest_action_join", f"""
@@ -213,8 +211,7 @@ def role_assign(c: Context) -> DataFrame:
 @query("record_decisions", f"""
     WITH requests AS (SELECT *, id // 2 AS batch_id FROM case_actions WHERE approved_by IS NOT NULL),
     refused AS (SELECT DISTINCT batch_id FROM requests WHERE payment_id NOT IN (SELECT payment_id FROM positions)
-                OR regexp_extract(approved_by, '[0-9]+$')::BIGINT % 4 = 0
-                OR regexp_extract(approved_by, '[0-9]+$')::BIGINT >= 2000)
+                OR approved_by NOT IN (SELECT DISTINCT 'user' || CAST(user_id AS VARCHAR) FROM events WHERE user_id % 4 <> 0))
     SELECT r.id, r.payment_id, trim(split_part(p.signals, ',', 1)) AS signal_type, r.action_type,
            CAST(r.hold_duration_hours AS BIGINT) AS hold_duration_hours, 'approved' AS status, r.approved_by,
            'supervisor' AS reviewed_by_role, strftime(r.created_at, '%Y-%m-%d %H:%M:%S.%f') AS decided_at,
@@ -229,7 +226,7 @@ def record_decisions(c: Context) -> DataFrame:
         "id", "payment_id", "action_type", "hold_duration_hours", "drafted_request", "predicted_recovery_usd",
         F.col("approved_by").alias("requested_by"), F.col("created_at").alias("requested_at"),
         F.expr("id div 2").alias("batch_id"))
-    return K.record_decisions(requests, c.desk.positions, SUPERVISORS).select(
+    return K.record_decisions(requests, c.desk.positions, supervisors=c.t.supervisors()).select(
         "id", "payment_id", "signal_type", "action_type", "hold_duration_hours", "status", "approved_by",
         "reviewed_by_role", "decided_at", "predicted_recovery_usd", F.col("audit_trail")[0]["notes"].alias("audit_notes"))
 

@@ -83,6 +83,8 @@ def test_a_batch_is_recorded_whole_or_not_at_all(spark):
     assert [(r.id, r.signal_type, r.audit_trail[0].notes) for r in got] == [(3, "unspecified", "Examiner-approved release.")]
     assert K.record_decisions(req, pos, "LEAD ").count() == 1
     assert K.record_decisions(req, pos, "other").count() == 0
+    for names, n in ([("user9",), (" LEAD ",), ("lead",), ("user123456",)], 1), ([("user9",)], 0):
+        assert K.record_decisions(req, pos, supervisors=req.sparkSession.createDataFrame(names, "identity string")).count() == n
 
 
 def test_parity_counts_multiplicity(spark):
