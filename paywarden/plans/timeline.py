@@ -14,6 +14,7 @@ from paywarden.plans.registry import Context, query
 from paywarden.plans.twin import arr, tim
 from paywarden.session import work_dir
 from paywarden.streaming import feeds
+from paywarden.streaming.history import stream_history
 
 
 @query("workflow_state", """
@@ -103,20 +104,30 @@ def cdc_apply_latest(c: Context) -> DataFrame:
 @query("cdc_apply_latest_stream", CURRENT)
 def cdc_apply_latest_stream(c: Context) -> DataFrame:
     source, schema = feed_files(c)
-    return feeds.stream_latest(c.spark, source, schema, work_dir(c.spark, "latest"), work_dir(c.spark, "latest-state"), 3)
+    return feeds.stream_latest(c.spark, source, schema, work_dir(c.spark, "latest"), work_dir(c.spark, "latest-state"))
 
 
-@query("cdc_history_scd2", """
+HISTORY = """
     WITH v AS (SELECT *, lead(_timestamp) OVER (PARTITION BY id ORDER BY _sort_by) AS nxt,
                row_number() OVER (PARTITION BY id ORDER BY _sort_by) AS version FROM change_feed
                WHERE _pg_change_type <> 'update_preimage')
     SELECT id, status, action_type, strftime(_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS valid_from,
            strftime(nxt, '%Y-%m-%d %H:%M:%S.%f') AS valid_to, nxt IS NULL AS is_current, version
-    FROM v WHERE _pg_change_type <> 'delete'""")
+    FROM v WHERE _pg_change_type <> 'delete'"""
+
+
+@query("cdc_history_scd2", HISTORY)
 def cdc_history_scd2(c: Context) -> DataFrame:
     return changes.history(feed(c))
 
 
+@query("cdc_history_scd2_stream", HISTORY)
+def cdc_history_scd2_stream(c: Context) -> DataFrame:
+    """The files replay a month in arbitrary order, so the allowed lateness covers that month."""
+    source, schema = feed_files(c)
+    return stream_history(c.spark, source, schema, work_dir(c.spark, "history"), work_dir(c.spark, "history-state"), "40 days")
+
+
 @query("change_order", """
     SELECT b.id, b._sort_by, a.status AS old_status, b.status, a.action_type AS old_action_type, b.action_type,
            CASE WHEN a.status IS DISTINCT FROM b.status AND a.action_type IS DISTINCT FROM b.action_type
@@ -135,7 +146,7 @@ def cdc_change_counts(c: Context) -> DataFrame:
     """The files replay a month in arbitrary order, so the allowed lateness covers that month."""
     source, schema = feed_files(c)
     return feeds.stream_change_counts(c.spark, source, schema, work_dir(c.spark, "counts"),
-                                      work_dir(c.spark, "counts-state"), "40 days", files_per_trigger=3)
+                                      work_dir(c.spark, "counts-state"), "40 days")
 
 
 @query("queue_live_refresh", f"""
@@ -149,7 +160,7 @@ def queue_live_refresh(c: Context) -> DataFrame:
     actions.write.parquet(log)
     queue = c.s.scored.select("payment_id", K.EXPOSURE, K.RECOVERY, "recommended_disposition")
     return feeds.stream_queue_kpis(
-        c.spark, log, actions.schema, queue, work_dir(c.spark, "kpis"), work_dir(c.spark, "kpis-state"), 2)
+        c.spark, log, actions.schema, queue, work_dir(c.spark, "kpis"), work_dir(c.spark, "kpis-state"))
 
 
 @query("flag_ingest_dedup", f"SELECT payment_id, n_signals, {arr('signal_list')}, has_strong_signal FROM summary")
@@ -157,6 +168,6 @@ def flag_ingest_dedup(c: Context) -> DataFrame:
     raw, path = c.t.flag_arrivals(), work_dir(c.spark, "flag-files")
     raw.write.parquet(path)
     pairs = feeds.stream_flag_pairs(c.spark, path, raw.schema, work_dir(c.spark, "pairs"),
-                                    work_dir(c.spark, "pairs-state"), files_per_trigger=2)
+                                    work_dir(c.spark, "pairs-state"))
     return scoring.signal_summary(pairs, c.t.signal_classification()).select(
         "payment_id", "n_signals", "signal_list", "has_strong_signal")

@@ -18,11 +18,14 @@ from paywarden.operators.desk import EXPOSURE, RECOVERY
 from paywarden.operators.joins import fits_broadcast
 
 
+#: What one micro-batch reads, unless a number of files is asked for; a batch writes one folder, so their number follows the input's size.
+BATCH_BYTES = 16 << 30
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    limit = ("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else ("maxBytesPerTrigger", BATCH_BYTES)
+    return reader.option(*limit).parquet(path)
 
 
 def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
