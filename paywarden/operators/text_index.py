@@ -68,7 +68,7 @@ def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
     blocks.select("folder", "term", "stretch", "n", "occurrences", "most", "shortest", F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"),
                   F.col("p.length").alias("lengths")).sortWithinPartitions("folder", "term", "stretch").write.partitionBy("folder").parquet(f"{path}/blocks")
     total = index_blocks(spark, path).agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("length"))
-    total.crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).write.parquet(f"{path}/figures")  # one row beside one row
+    total.select("length", docs.agg(F.count(F.lit(1))).scalar().alias("n")).write.parquet(f"{path}/figures")
 
 
 def index_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -205,4 +205,4 @@ def near_top_k(spark: SparkSession, path: str, book: Codebook, key: str, vector:
 def recall(exact: DataFrame, near: DataFrame) -> DataFrame:
     """One row: the share of exact hits that the index returned."""
     hit = near.select("query_id", "key", F.lit(1).alias("hit"))
-    return exact.join(hit, ["query_id", "key"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return exact.join(hit, ["query_id", "key"], "left").agg(F.try_divide(F.count("hit"), F.count(F.lit(1))).alias("recall"))

@@ -101,8 +101,7 @@ def vector_top_k_ann(c: Context) -> DataFrame:
     book = V.write_index(rows, "vec_id", "embedding", path)
     exact = V.exact_top_k(rows, "vec_id", "embedding", _asked_vectors(c), 5)
     share = V.recall(exact, V.near_top_k(c.spark, path, book, "vec_id", "embedding", _asked_vectors(c), 5))
-    return exact.join(F.broadcast(share)).select(
-        "query_id", F.col("key").alias("vec_id"), F.round("score", 5).alias("score"), "rank", (F.col("recall") >= 0.9).alias("recalled"))
+    return exact.select("query_id", F.col("key").alias("vec_id"), F.round("score", 5).alias("score"), "rank", (share.scalar() >= 0.9).alias("recalled"))
 
 
 @query("vector_index_hits")
