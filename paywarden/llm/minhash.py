@@ -35,6 +35,8 @@ XOR = _seeds.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 TIMES = (_seeds.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * 2 + 1)
 #: An estimate may fall so many of its standard deviations below the threshold.
 DEVIATIONS = 5
+#: Sets and shingles of one part of a bucket or family; a task holds two parts.
+UNIT, UNIT_SHINGLES = 1024, 2_000_000
 #: Longs of the coarse estimate that is taken before the one from all of them.
 COARSE = 8
 
@@ -149,9 +151,8 @@ def similar(l: str, r: str, threshold: int) -> Column:
             & (estimate(*bits) >= lowest_estimate(threshold, MINIMA)))
 
 
-def confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """The pairs of set digests (a, b) whose full sets are as similar as asked; only texts in a pair are read again."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+def full_sets(docs: DataFrame, signed: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """set_key and members of the sets in ``needed`` (set_key, distinct); only texts that have one are read again."""
     ids = signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).join(needed, "set_key").select("doc_id").distinct()
     read = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     layout = "set_key binary, members array<bigint>"
@@ -160,7 +161,12 @@ def confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, thre
         # No id leads to a set whose ids are all null; the set itself does.
         nameless = read.filter(F.col("doc_id").isNull()).select("text").mapInArrow(_set_writer(n), layout).dropDuplicates(["set_key"])
         sets = sets.union(nameless.join(needed, "set_key", "left_semi").select("set_key", "members"))
-    sets = stored(sets, "sets").dropDuplicates(["set_key"])
+    return stored(sets, "sets").dropDuplicates(["set_key"])
+
+
+def confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFrame:
+    """The pairs of set digests (a, b) whose full sets are as similar as asked."""
+    sets = full_sets(docs, signed, pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct(), n)
     a = sets.select(F.col("set_key").alias("a"), F.col("members").alias("members_a"))
     b = sets.select(F.col("set_key").alias("b"), F.col("members").alias("members_b"))
     shared = F.size(F.array_intersect("members_a", "members_b"))
@@ -168,14 +174,141 @@ def confirmed(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, thre
         shared * 100 >= (F.size("members_a") + F.size("members_b") - shared) * threshold).select("a", "b")
 
 
+def in_units(rows: DataFrame, group: str, most: int, most_shingles: int) -> DataFrame:
+    """``rows`` with the units (group, low, high) in which they meet all others of their group; a unit's rows arrive together.
+
+    A group is cut by a hash into parts of about ``most`` rows and ``most_shingles``, and every two parts are a unit, so that no
+    task holds more than two parts. ``part`` tells them apart.
+    """
+    parts = rows.groupBy(group).agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n_shingles") / most_shingles)).cast("int").alias("parts"))
+    cut = rows.join(parts, group).withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+    meets = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    unit = [F.col(group).alias("group"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
+    return meets.select(*unit, "part", *[c for c in rows.columns if c != group])
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+
+
+def _units(batches):
+    """The rows of each (group, low, high) as one table; they arrive sorted by it."""
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_pylist() for c in range(3)]
+        places = list(zip(*keys))
+        cuts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)]
+        for first, last in zip(cuts, cuts[1:]):
+            if held and places[first] != at:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = places[first]
+            held.append(batch.slice(first, last - first))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _longs(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
+def _maybe(i: int, later: np.ndarray, bits: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """Those of ``later`` that may be as similar to row ``i`` as asked: by set sizes, then by both estimates."""
+    least, greatest = np.minimum(sizes[later], sizes[i]), np.maximum(sizes[later], sizes[i])
+    later = later[least * 100 >= greatest * threshold]
+    ones = W.U(int(("0" * (BITS - 1) + "1") * PACKED, 2))
+    for longs in (COARSE, MINIMA // PACKED):
+        differ = bits[later, :longs] ^ bits[i, :longs]
+        for shift in (1 << k for k in range(BITS.bit_length() - 1)):
+            differ |= differ >> W.U(shift)
+        unequal = np.bitwise_count(differ & ones).sum(axis=1, dtype=np.int64)
+        later = later[1 - unequal / (longs * PACKED * (1 - 0.5 ** BITS)) >= lowest_estimate(threshold, longs * PACKED)]
+    return later
+
+
+def _forest(tree: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Links (i, j) that join two trees not joined before; ``linked(i, later)`` picks i's links among open places."""
+    tree, kept = tree.copy(), []
+    for i in range(len(tree) - 1):
+        open_ = i + 1 + np.flatnonzero(tree[i + 1:] != tree[i])
+        for j in linked(i, open_).tolist() if len(open_) else ():
+            if tree[i] != tree[j]:
+                tree[tree == tree[j]] = tree[i]
+                kept.append((i, j))
+    return kept
+
+
+def _pairs(unit: pa.Table, kept) -> pa.RecordBatch:
+    keys = unit["set_key"].combine_chunks()
+    return pa.RecordBatch.from_arrays([keys.take(pa.array([k[e] for k in kept], pa.int64())) for e in (0, 1)], names=["a", "b"])
+
+
+def _sketched(threshold: int):
+    """For the units of one band: a forest of the pairs that may be links and share this band first.
+
+    The forest joins texts, not components: of two components each pair that may be a link has both texts in one family.
+    """
+    def run(batches):
+        for unit in _units(batches):
+            roots = unit["root"].combine_chunks().dictionary_encode()
+            if unit.num_rows < 2 or len(roots.dictionary) < 2:
+                continue
+            root, part, sizes = roots.indices.to_numpy(), unit["part"].to_numpy(), unit["n_shingles"].to_numpy()
+            bits, bands, band = _longs(unit["low_bits"]).view(W.U), _longs(unit["bands"]), unit["group"][0].as_py()
+            within = part.min() == part.max()
+
+            def linked(i, later):
+                later = later[root[later] != root[i]]
+                if not within:
+                    later = later[part[later] != part[i]]
+                if not len(later):
+                    return later
+                later = later[bands[i][(bands[later] == bands[i]).argmax(axis=1)] == band]
+                return _maybe(i, later, bits, sizes, threshold)
+            yield _pairs(unit, _forest(np.arange(unit.num_rows), linked))
+    return run
+
+
+def _exact(threshold: int):
+    """For the units of one family: a forest of the links, decided on full sets."""
+    def run(batches):
+        for unit in _units(batches):
+            roots = unit["root"].combine_chunks().dictionary_encode()
+            if unit.num_rows < 2 or len(roots.dictionary) < 2:
+                continue
+            tree, part, sizes = roots.indices.to_numpy(), unit["part"].to_numpy(), unit["n_shingles"].to_numpy()
+            bits, members = _longs(unit["low_bits"]).view(W.U), unit["members"].combine_chunks()
+            limits = members.offsets.to_numpy().astype(np.int64)
+            limits -= limits[0]
+            values, numbers = np.unique(members.flatten().to_numpy(), return_inverse=True)
+            mark = np.zeros(len(values), bool)
+            within = part.min() == part.max()
+
+            def linked(i, later):
+                if not within:
+                    later = later[part[later] != part[i]]
+                later = _maybe(i, later, bits, sizes, threshold)
+                if not len(later):
+                    return later
+                own = numbers[limits[i]:limits[i + 1]]
+                mark[own] = True
+                shared = np.array([np.count_nonzero(mark[numbers[limits[j]:limits[j + 1]]]) for j in later])
+                mark[own] = False
+                return later[shared * 100 >= (sizes[later] + sizes[i] - shared) * threshold]
+            yield _pairs(unit, _forest(tree, linked))
+    return run
+
+
 def _rooted(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """The signatures of ``docs``, and set_key, doc_id (the smallest) and root of every distinct set.
 
     Links join texts with 100 * intersection >= threshold * union. Each text is compared with the smallest leader of its
     buckets first, which makes most of a large group one component; then with the leaders of other components only; then
     members of one bucket that are still in different components with each other, each pair in the first band it shares.
-    Copies are never expanded into pairs; of texts that are near the threshold without being linked, only the pairs
-    that the estimate from all minima can't tell from links are.
+    Neither copies nor texts that are near the threshold without being linked are expanded into rows of pairs.
     """
     signed = stored(signatures(docs, n), "signatures")
     classes = stored(signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(
@@ -212,17 +345,19 @@ def _rooted(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFra
     roots = stored(components(confirm(estimated(first))), "roots")
     star = still_open(roots).filter("root != leader_root").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
     roots = extended(roots, confirm(estimated(star)))
-    # Who is left in a bucket of several components has been compared with its leader, but not with the others there.
-    rest = still_open(roots).filter("size > 2 and set_key != leader").join(sketches, "set_key").select(
-        "band", "set_key", "root", "n_shingles", "bands", "low_bits")
-    left, right = rest.alias("l"), rest.alias("r")
-    late = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.set_key") < F.col("r.set_key"))
-                     & (F.col("l.root") != F.col("r.root")) & similar("l", "r", threshold)
-                     & (F.array_intersect("l.bands", "r.bands")[0] == F.col("l.band"))
-                     ).select(F.col("l.set_key").alias("a"), F.col("r.set_key").alias("b")).distinct()
-    more = confirm(late)
-    if not more.isEmpty():
-        roots = extended(roots, more)
+    # Who is left in a bucket of several components has been compared with its leader, but not with the others there. Pairs
+    # never become rows: buckets give forests of what the estimate can't tell from links, and the families that these
+    # make are met once more in units, with their full sets.
+    link = "a binary, b binary"
+    rest = still_open(roots).filter("size > 2 and set_key != leader").select("band", "set_key", "root").join(sketches, "set_key")
+    unsure = _together(in_units(rest, "band", UNIT, UNIT_SHINGLES)).mapInArrow(_sketched(threshold), link)
+    families = stored(components(unsure).withColumnRenamed("node", "set_key").withColumnRenamed("root", "family"), "families")
+    if not families.isEmpty():
+        sets = full_sets(docs, signed, families.select("set_key"), n)
+        members = families.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key")).join(
+            sketches.select("set_key", "n_shingles", "low_bits"), "set_key").join(sets, "set_key")
+        links = _together(in_units(members, "family", UNIT, UNIT_SHINGLES)).mapInArrow(_exact(threshold), link)
+        roots = extended(roots, stored(links, "confirmed"))
     rooted = classes.select("set_key", "doc_id").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
     return signed, rooted

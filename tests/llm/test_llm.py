@@ -142,6 +142,35 @@ def test_a_family_near_the_threshold_equals_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), n=4).collect()} == dict(enumerate(up))
 
 
+def test_forests_of_unsure_pairs_join_texts_and_forests_of_links_join_components():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(1, 1 << 62, 300).astype(np.uint64))
+    # a0 and b0 may be a link by the sketch and are none; a1 and b1 are one. Both pairs are of the components A and B.
+    fresh = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    sets = [np.unique(x) for x in (np.r_[base[:260], fresh(33)], np.r_[base[:260], fresh(33)], np.r_[base[:285], fresh(8)], np.r_[base[:285], fresh(9)])]
+    lowest = [minhash.minima(x) for x in sets]
+    rows = [{"group": 0, "low": 0, "high": 0, "part": 0, "root": r, "set_key": bytes([k]), "n_shingles": len(x),
+             "bands": [0] * minhash.BANDS, "low_bits": minhash.low_bits(m).tolist(), "members": x.view(np.int64).tolist()}
+            for k, (r, x, m) in enumerate(zip([b"A", b"B", b"A", b"B"], sets, lowest))]
+    batch = pa.RecordBatch.from_pylist(rows)
+    met = {frozenset((r["a"], r["b"])) for b in minhash._sketched(70)(iter([batch.slice(0, 1), batch.slice(1)])) for r in b.to_pylist()}
+    assert frozenset().union(*met) == {bytes([k]) for k in range(4)}
+    links = [r for b in minhash._exact(85)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["a"], r["b"]) for r in links] == [(bytes([2]), bytes([3]))]
+
+
+def test_parts_of_a_hot_bucket_meet_each_other(spark):
+    rows = spark.createDataFrame([(7, bytes([k]), 10) for k in range(40)] + [(8, bytes([k]), 10) for k in range(2)], "band long, set_key binary, n_shingles long")
+    cut = minhash.in_units(rows, "band", 5, 1000).collect()
+    met = {}
+    for r in cut:
+        met.setdefault((r.group, r.low, r.high), []).append((r.part, bytes(r.set_key)))
+    pairs = {frozenset((x, y)) for unit in met.values() for p, x in unit for q, y in unit
+             if x < y and (p != q or len({part for part, _ in unit}) == 1)}
+    assert len(pairs) == 40 * 39 // 2 and len({u for u in met if u[0] == 7}) > 20 and (8, 0, 0) in met
+
+
 def test_vectors_equal_all_pairs_and_recall_is_whole(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
