@@ -8,7 +8,7 @@ id or role calls so stays when it holds an article or half of the page's text, a
 
 Cases: null and empty html, and pages without text, give the empty text. Unclosed and misplaced tags are repaired as browsers
 do for the common ones. Repeated rows are read one by one, ids and URLs may be null, extra columns are ignored, pages of any
-length are read whole; empty in, empty out.
+length are read whole, in time that grows with their length; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from paywarden.llm.shared import travels
 
 travels(__name__)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                   r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+RAW = re.compile(r"<(script|style|noscript|template|svg|textarea|select|iframe)\b[^>]*>", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg textarea select iframe".split()}
+LETTER, STOP = re.compile("</?[a-zA-Z]"), re.compile("[>\"']")
 TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>/=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -41,34 +42,132 @@ FURNITURE = set("ad ads advert advertisement adverts advertising banner breadcru
 PLAIN = set("area articles bar block bottom box buttons container form global icons inner item items left link links list main outer page post "
             "posts primary right secondary section site top wrap wrapper".split())
 CONTENT = set("article main".split())
-PROSE = set("h1 h2 h3 h4 h5 h6 hgroup p".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A number in a character reference that names no character, however long it is; and zeros before a number.
+NO_CHARACTER, ZEROS = re.compile("&#0*[1-9][0-9]{7,};?"), re.compile("&#0+(?=[0-9])")
 #: What prose in an element with such a name counts for.
 LOWERED = 0.5
+P, CELLS, BEFORE_ARTICLE = {"p"}, {"td", "th", "table"}, DROPPED | {"header", "ul", "ol", "p"}
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "named", "holds", "chars", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "dropped", "named", "holds", "gone", "lowered", "near", "chars", "points", "length", "linked")
 
     def __init__(self, tag, parent, dropped, named=False):
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.holds = False  # an article or main
+        self.near = None
         self.chars = self.points = self.length = self.linked = 0
 
 
-def _furniture(tag: str, source: str, parent: Node) -> bool:
-    if tag in DROPPED or HIDDEN.search(source):
-        return True
-    if tag == "header" and not _inside(parent, CONTENT):
-        return True
-    return False
-
-
-def _named(tag: str, source: str, parent: Node) -> bool:
+class Path:
+    """The open elements, with the depths at which each tag is open; going up costs as much as coming down did."""
+
+    def __init__(self):
+        self.root = Node("html", None, False)
+        self.nodes, self.path, self.open = [self.root], [self.root], {"html": [0]}
+
+    def push(self, node: Node) -> None:
+        self.open.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Leave the elements from ``depth`` on."""
+        while len(self.path) > depth:
+            self.open[self.path.pop().tag].pop()
+
+    def deepest(self, tags) -> int:
+        depth = -1
+        for tag in tags:
+            at = self.open.get(tag)
+            if at and at[-1] > depth:
+                depth = at[-1]
+        return depth
+
+    def inside(self, tags) -> bool:
+        return self.deepest(tags) >= 0
+
+    def close(self, tags, stop=()) -> None:
+        """Leave the nearest element of ``tags``, unless one of ``stop`` is nearer."""
+        depth = self.deepest(tags)
+        if depth > 0 and (not stop or depth > self.deepest(stop)):
+            self.cut(depth)
+
+    def leave_all(self, tags) -> None:
+        self.cut(max(1, min((self.open[t][0] for t in tags if self.open.get(t)), default=len(self.path))))
+
+
+def tokens(page: str):
+    """(token, whether it is a tag) in page order, without comments, declarations and elements whose text is no prose.
+
+    Every step goes on where the one before ended, and what is known to be missing ahead is not looked for again. A tag ends
+    at the first bracket outside quotes; a quote that is never closed is a plain character. If no bracket outside quotes is
+    left, tags end at the first bracket, and without any the rest is text.
+    """
+    at, last = 0, page.rfind(">")
+    unclosed, quoted = {page.rfind("\""), page.rfind("'")}, True
+    while at < len(page):
+        start = page.find("<", at)
+        if start != at:
+            yield page[at:start if start >= 0 else len(page)], False
+            if start < 0:
+                return
+        at = start
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
+        elif page[at:at + 9].upper() == "<![CDATA[":
+            end = page.find("]]>", at + 9)
+            at = end + 3 if end >= 0 else len(page)
+        elif at > last:
+            yield page[at:], False
+            return
+        elif raw := RAW.match(page, at):
+            end = RAW_END[raw[1].lower()].search(page, raw.end())
+            at = end.end() if end else len(page)
+        elif LETTER.match(page, at):
+            end = at
+            while quoted:
+                stop = STOP.search(page, end)
+                if not stop:
+                    quoted = False
+                elif stop[0] == ">":
+                    end = stop.end()
+                    break
+                else:
+                    end = stop.end() if stop.start() in unclosed else page.find(stop[0], stop.end()) + 1
+            if not quoted:
+                end = page.find(">", at) + 1
+            yield page[at:end], True
+            at = end
+        elif page[at + 1:at + 2] in ("!", "?", "/"):
+            at = page.find(">", at) + 1
+        else:
+            yield "<", False
+            at += 1
+
+
+def _plain(source: list[str]) -> str:
+    """Character references decoded, white space as single spaces."""
+    text = "".join(source)
+    if "&#" in text:
+        text = NO_CHARACTER.sub("\ufffd", ZEROS.sub("&#", text))
+    return SPACE.sub(" ", html.unescape(text)).strip()
+
+
+def _furniture(tag: str, source: str, path: Path) -> bool:
+    return bool(tag in DROPPED or len(source) > len(tag) + 2 and HIDDEN.search(source) or tag == "header" and not path.inside(CONTENT))
+
+
+def _named(tag: str, source: str, path: Path) -> bool:
     """Whether a whole class, id or role is a name of furniture; every word of it is one or a plain word."""
+    if len(source) <= len(tag) + 2:
+        return False
     names = " ".join(m.strip("\"'") for m in NAMED.findall(source)).lower()
-    if not names or tag in CONTENT or tag in ("body", "html") or tag in PROSE and _inside(parent, CONTENT):
+    if not names or tag in CONTENT or tag in ("body", "html") or tag in HEADINGS and path.inside(CONTENT):
         return False
     for name in names.split():
         words = set(re.split(r"[^a-z]+", name)) - {""}
@@ -77,52 +176,29 @@ def _named(tag: str, source: str, parent: Node) -> bool:
     return False
 
 
-def _inside(node: Node | None, tags) -> bool:
-    while node:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """(nearest block element, text, characters in links) of each block outside the furniture, in page order."""
-    root = Node("html", None, False)
-    at, links, out = root, 0, []
+def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """All elements, and (nearest block element, text, characters in links) of each block outside the furniture, in page order."""
+    path = Path()
+    links, out = 0, []
     text: list[str] = []
     linked: list[str] = []
 
     def flush():
-        nonlocal text, linked
         if text:
-            clean = SPACE.sub(" ", html.unescape("".join(text))).strip()
-            if clean and not at.dropped:
-                out.append((at, clean, len(SPACE.sub(" ", html.unescape("".join(linked))).strip())))
-            text, linked = [], []
-
-    def close(tags, stop=frozenset()):
-        nonlocal at
-        node = at
-        while node.parent and node.tag not in tags and node.tag not in stop:
-            node = node.parent
-        if node.parent and node.tag in tags:
-            at = node.parent
-            return True
-        return False
-
-    for m in TOKEN.finditer(page):
-        token = m[0]
-        if token[0] != "<" or token == "<":
+            node = path.path[-1]
+            clean = "" if node.dropped else _plain(text)
+            if clean:
+                out.append((node, clean, len(_plain(linked))))
+            text.clear()
+            linked.clear()
+
+    for token, is_tag in tokens(page):
+        if not is_tag:
             text.append(token)
             if links:
                 linked.append(token)
             continue
-        if m[1] or token.startswith(("<!", "<?")):
-            continue
-        name = TAG.match(token)
-        if not name:
-            continue
-        tag = name[1].lower()
+        tag = TAG.match(token)[1].lower()
         if tag == "a":
             links = 0 if token[1] == "/" else 1
         if tag == "br":
@@ -131,91 +207,85 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             continue
         flush()
         if token[1] == "/":
-            close({tag})
+            path.close({tag})
             continue
         links = 0
         if tag in CONTENT:  # an article never belongs to a menu or header left open before it
-            while at.parent and _inside(at, DROPPED | {"header", "ul", "ol", "p"}):
-                at = at.parent
+            path.leave_all(BEFORE_ARTICLE)
         elif tag == "body":
-            at = root
+            path.cut(1)
         elif tag in CLOSES_P:
-            close({"p"}, {"td", "th", "table"})
+            path.close(P, CELLS)
         if tag == "li":
-            close({"li"}, {"ul", "ol", "menu"})
+            path.close({"li"}, {"ul", "ol", "menu"})
         elif tag in ("dd", "dt"):
-            close({"dd", "dt"}, {"dl"})
+            path.close({"dd", "dt"}, {"dl"})
         elif tag in ("tr", "td", "th"):
-            close({"tr", "td", "th"} if tag == "tr" else {"td", "th"}, {"table", "tr"} if tag != "tr" else {"table"})
-        if tag not in VOID:
-            at = Node(tag, at, at.dropped or _furniture(tag, token, at), _named(tag, token, at))
-            up = at.parent if tag in CONTENT else None
-            while up is not None:
-                up.holds, up = True, up.parent
+            path.close({"tr", "td", "th"} if tag == "tr" else {"td", "th"}, {"table", "tr"} if tag != "tr" else {"table"})
+        parent = path.path[-1]
+        path.push(Node(tag, parent, parent.dropped or _furniture(tag, token, path), _named(tag, token, path)))
+        up = parent if tag in CONTENT else None
+        while up is not None and not up.holds:
+            up.holds, up = True, up.parent
     flush()
-    return _without_named(out)
+    return path.nodes, _without_named(path.nodes, out)
 
 
-def _without_named(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+def _without_named(nodes: list[Node], found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
     """The blocks outside elements with furniture names; all of them if there are no others."""
-    total = 0
     for node, text, _ in found:
-        total += len(text)
-        while node is not None:
-            node.chars += len(text)
-            node = node.parent
-
-    def stays(node: Node | None) -> bool:
-        while node is not None:
-            if node.named and not node.holds and 2 * node.chars < total:
-                return False
-            node = node.parent
-        return True
-    return [b for b in found if stays(b[0])] or found
-
-
-def _lowered(node: Node | None) -> bool:
-    """Whether an element with a furniture name is around it, inside the article if there is one."""
-    while node is not None and node.tag not in CONTENT:
-        if node.named and not node.holds:
-            return True
-        node = node.parent
-    return False
+        node.chars += len(text)
+    for node in reversed(nodes[1:]):  # a parent stands before its children
+        node.parent.chars += node.chars
+    total = nodes[0].chars
+    for node in nodes:
+        node.gone = node.parent is not None and node.parent.gone or node.named and not node.holds and 2 * node.chars < total
+        # An element with a furniture name is around it, inside the article if there is one.
+        node.lowered = node.tag not in CONTENT and (node.named and not node.holds or node.parent is not None and node.parent.lowered)
+    return [b for b in found if not b[0].gone] or found
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    nodes, found = blocks(page or "")
     if not found:
         return ""
     containers: dict[int, Node] = {}
     for node, text, linked in found:
         holder = node if node.tag in CONTENT or node.tag in ("div", "section", "td", "body", "html") or not node.parent else node.parent
-        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - min(1, linked / len(text))) * (LOWERED if _lowered(node) else 1)
+        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - min(1, linked / len(text))) * (LOWERED if node.lowered else 1)
         for weight, up in ((1.0, holder), (0.5, holder.parent)):
             if up is not None:
                 up.points += weight * points
                 containers[id(up)] = up
-        up = node
-        while up is not None:
-            up.length += len(text)
-            up.linked += linked
-            up = up.parent
+        node.length += len(text)
+        node.linked += linked
+    for node in reversed(nodes[1:]):
+        node.parent.length += node.length
+        node.parent.linked += node.linked
 
     def score(n: Node) -> float:
         return n.points * (1 - n.linked / n.length if n.length else 1) * (1.5 if n.tag in CONTENT else 0.8 if n.tag in ("html", "body") else 1)
     best = max(containers.values(), key=score)
-    least = max(10.0, score(best) * 0.2)
-
-    def kept(node: Node, text: str, linked: int) -> bool:
-        up = node
-        while up is not None:
-            if up is best:
-                return True
-            if up.parent is best.parent and best.parent is not None:  # a sibling, by its score or as a paragraph of prose
-                return score(up) >= least or (up.tag == "p" and len(text) > 80 and linked < len(text) / 4)
-            up = up.parent
-        return False
-    return "\n\n".join(text for node, text, linked in found if kept(node, text, linked))
+    least = score(best) * 0.2
+    for node in nodes:  # the best container, or the sibling of it, that holds the element
+        if node is best or node.parent is not None and node.parent is best.parent:
+            node.near = node
+        elif node.parent is not None:
+            node.near = node.parent.near
+
+    def kept(up: Node | None, text: str, linked: int) -> bool:
+        """Siblings without a furniture name stay by their score, as prose, as an article beside one, or as a heading outside one."""
+        if up is None or up is best:
+            return up is best
+        if up.named and not up.holds:
+            return False
+        prose = linked < len(text) / 4
+        if best.tag in CONTENT:
+            beside = up.tag in CONTENT
+        else:
+            beside = up.tag in HEADINGS
+        return score(up) >= max(least, 1.0) or prose and (beside or up.tag == "p" and len(text) > 80)
+    return "\n\n".join(text for node, text, linked in found if kept(node.near, text, linked))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -242,6 +242,29 @@ def test_names_alone_lose_no_article(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    (f"<article><p>{LONG}</p><p class='newsletter'>Sign up now</p><p class='ad'>Buy now</p></article>", LONG),
+    (f"<main><article><p>{LONG} {LONG} {LONG}</p></article><article><p>A short one.</p></article></main>", f"{LONG} {LONG} {LONG}\n\nA short one."),
+    (f"<body><h1>Head</h1><div>{LONG}</div><div>short</div></body>", f"Head\n\n{LONG}\n\nshort"),
+    ("<p>a &#" + "1" * 5000 + "; b &#" + "0" * 5000 + "65;</p>", "a \ufffd b A"),
+    ("<p class=\"x>one</p><p>two</p>", "one\n\ntwo"), ("a < b <c", "a < b <c"), ("<p>x<!-- <p>no", "x")])
+def test_adverts_siblings_and_broken_markup(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("part", ["<b ", "a <b x ", "<div>x", "<article><p>x", "<p><td><div>x", "<b '>' ", "<b \"> ", "</script ", "<script>", "<ul><li>x",
+                                  "<p class='ad'>x", "<!-- ", "<", "<![CDATA[", "<a href='x'>y", "&#1", "<table><tr><td>x", "<main><div class=widget>x"])
+def test_long_pages_take_linear_time(part):
+    import time
+    page = part * (250_000 // len(part))
+    started = time.process_time()
+    html_text.main_text(page)
+    short = time.process_time() - started
+    started = time.process_time()
+    html_text.main_text(page * 4)
+    assert time.process_time() - started < max(10 * short, 1) and short < 4
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>a</p>" * 3, "x"), (1, "u", "<p>a</p>" * 3, "x")], "page_id bigint, url string, html string, text string")
     got = [tuple(r) for r in html_text.extracted(pages).collect()]
