@@ -175,7 +175,7 @@ def _per_row(rows, codec, schema, one):
     def run(batches):
         import sys
         mine = sys.modules.setdefault("_paywarden_codecs", {})  # a worker serves many tasks
-        own = mine.setdefault(codec.id, codec.value)
+        own = mine.get(codec.id) or mine.setdefault(codec.id, codec.made())
         for batch in batches:
             ids, texts = batch.columns
             for k in range(0, len(texts), 64):
@@ -186,17 +186,17 @@ def _per_row(rows, codec, schema, one):
 
 def _codec(docs: DataFrame, path: str, pattern: str):
     """The vocabulary, broadcast: its size is that of the rank file and does not grow with the documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(Codec(read_ranks(path), pattern))
-    return _Shared(f"{path}|{pattern}", shared)
+    return _Shared(f"{path}|{pattern}", docs.sparkSession.sparkContext.broadcast(read_ranks(path)), pattern)
 
 
 class _Shared:
-    def __init__(self, name, shared):
-        self.id, self.shared = name, shared
+    """Plain ranks travel; the codec is made from them where it is used, so that workers need no copy of this package."""
 
-    @property
-    def value(self):
-        return self.shared.value
+    def __init__(self, name, ranks, pattern):
+        self.id, self.ranks, self.pattern = name, ranks, pattern
+
+    def made(self) -> Codec:
+        return Codec(self.ranks.value, self.pattern)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from paywarden.llm import bpe, decontaminate, html_text, licenses, minhash, pivots, quality, secret_scan, toxicity, url_rules
 from paywarden.llm.components import components
@@ -265,6 +266,31 @@ def test_long_pages_take_linear_time(part):
     assert time.process_time() - started < max(10 * short, 1) and short < 4
 
 
+def test_repeated_ids_stay_within_the_bound_of_training(spark):
+    many = spark.range(3000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    picked = toxicity.labelled(many, labels, "toxic", 10)
+    assert picked.count() == 10 and picked.collect() == toxicity.labelled(many.repartition(7), labels, "toxic", 10).collect()
+
+
+def test_what_bpe_broadcasts_needs_no_package(spark):
+    import pickletools
+
+    from pyspark import cloudpickle
+    shared = bpe._codec(docs(spark, ["a"]), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert type(shared.ranks.value) is dict and {type(k) for k in shared.ranks.value} == {bytes}
+    shared.ranks = None
+    named = [arg for op, arg, _ in pickletools.genops(cloudpickle.dumps(shared)) if isinstance(arg, str)]
+    assert isinstance(shared, bpe._Shared) and "_make_skeleton_class" in named
+
+
+def test_reference_points_do_not_depend_on_how_they_are_drawn(spark):
+    rng = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(rng.normal(size=4).tolist(),) for _ in range(2000)], "embedding array<double>")
+    few = pivots._drawn(vectors, 2000, 40).to_pylist()
+    assert len(few) == 40 and few == pivots._drawn(vectors, 100, 40).to_pylist()
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>a</p>" * 3, "x"), (1, "u", "<p>a</p>" * 3, "x")], "page_id bigint, url string, html string, text string")
     got = [tuple(r) for r in html_text.extracted(pages).collect()]
