@@ -87,12 +87,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float = 2.0, l1: float
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents outside fold 0, picked by the hash of their id."""
+    """(text, label) of at most ``rows`` labelled documents outside fold 0, picked by the hash of their id; of one id's texts by theirs."""
     picked = (labels.select(F.col("doc_id").cast("bigint"), F.col(column).cast("double").alias("label")).dropna()
               .filter(fold_of(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "label")
+    order = F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "label"
+    return texts.join(F.broadcast(picked), "doc_id").orderBy(*order).limit(rows).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = LEARNED_ROWS) -> Weights:
