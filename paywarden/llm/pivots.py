@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.llm.components import components
@@ -143,6 +143,18 @@ def _links(a, b, n, _):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
+def _drawn(vectors: DataFrame, count: int, most: int) -> pa.Array:
+    """The embeddings with the ``most`` smallest hashes; those that can't be among them are dropped before any sort."""
+    order = F.xxhash64("embedding")
+    if count > 16 * most:
+        # The share of hashes below the limit is 8 times what is needed; fewer than needed practically can't be.
+        limit = -(1 << 63) + int((1 << 64) * (8 * most / count))
+        below = vectors.filter(order < F.lit(limit)).orderBy(order, "embedding").limit(most).select("embedding").toArrow()
+        if below.num_rows == most:
+            return below["embedding"].combine_chunks()
+    return vectors.orderBy(order, "embedding").limit(most).select("embedding").toArrow()["embedding"].combine_chunks()
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED,
                  block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding)."""
@@ -156,14 +168,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, pivots: int = PIVOT
     grouped = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding"))
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    place = F.row_number().over(Window.partitionBy("length").orderBy(F.xxhash64("embedding"), "embedding"))
-    sample = classes.select(F.size("embedding").alias("length"), "embedding").withColumn("place", place).filter(F.col("place") <= 4 * pivots).orderBy("length", "place").toArrow()
-    if not sample.num_rows:
+    sized = classes.select(F.size("embedding").alias("length"), "embedding")
+    count, drawn_of = {r.length: r["count"] for r in sized.groupBy("length").count().collect()}, {}
+    for length in sorted(count):  # lengths are few: each is a table's or model's width
+        drawn_of[length] = _drawn(sized.filter(F.col("length") == length), count[length], 4 * pivots)
+    points = {length: spread_points(directions(_matrix(drawn)), pivots) for length, drawn in drawn_of.items()}
+    if not points:
         return keyed.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
                             F.col("vec_id").isNotNull().alias("kept"))
-    lengths, drawn = sample["length"].to_numpy(), sample["embedding"].combine_chunks()
-    points = {length: spread_points(directions(_matrix(drawn.take(pa.array(np.flatnonzero(lengths == length))))), pivots)
-              for length in np.unique(lengths).tolist()}
     described = classes.select("node", "embedding").mapInArrow(
         _describer(points, nearest), "node bigint, unit array<double>, pivots array<int>").join(classes.select("node", "size"), "node")
     described = stored(described, "described")
