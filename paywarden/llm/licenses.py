@@ -92,21 +92,27 @@ def scanned(docs: DataFrame) -> DataFrame:
     rare = index.join(frequency, "word", "left").withColumn("idf", F.log((F.lit(files) + 1.0) / (F.coalesce("files_with", F.lit(0)) + 1.0)) + 1.0)
     rare = stored(rare, "licence-index")  # as many rows as the templates have words
     needed = rare.filter("needed").groupBy("template").agg(
-        F.slice(F.array_sort(F.collect_set(F.struct((-F.col("idf")).alias("order"), "word"))), 1, ANCHORS).alias("anchors"),
-        F.count(F.lit(1)).alias("n_needed"))
-    totals = rare.groupBy("template").agg(F.sum("idf").alias("weight"))
-    anchors = needed.select("template", F.explode("anchors.word").alias("word"))
-    anchored = [r.word for r in anchors.select("word").distinct().collect()]  # two words per template at most
-    # Files without any anchor can't hold a template.
-    open_files = facts.filter(F.arrays_overlap("held", F.array(*[F.lit(w) for w in anchored]))).select("row", F.explode("seen").alias("s")).select(
-        "row", F.col("s.word").alias("word"), F.col("s.at").alias("place"))
-    lookups = rare.join(anchors.withColumn("anchor", F.lit(True)), ["template", "word"], "left").select(
-        "template", "label", "word", "at", "needed", "idf", F.coalesce("anchor", F.lit(False)).alias("anchor"))
-    hits = open_files.join(F.broadcast(lookups), "word").groupBy("row", "template", "label", (F.col("place") - F.col("at")).alias("start")).agg(
-        F.sum(F.col("needed").cast("int")).alias("found"), F.max("anchor").alias("anchor"), F.sum("idf").alias("got"))
-    holds = hits.filter("anchor").join(F.broadcast(needed.select("template", "n_needed")), "template").filter("found = n_needed").join(
-        F.broadcast(totals), "template")
-    answers = holds.groupBy("row").agg(F.collect_set("label").alias("method"), F.max(F.round(F.col("got") / F.col("weight"), 6)).alias("score"))
+        F.slice(F.array_sort(F.collect_set(F.struct((-F.col("idf")).alias("order"), "word"))), 1, ANCHORS).word.alias("anchors"))
+    templates = rare.groupBy("template").agg(
+        F.collect_list(F.struct("word", "at", "needed", "idf")).alias("parts"), F.first("label").alias("label"), F.sum("idf").alias("weight"),
+        F.count(F.when(F.col("needed"), 1)).alias("n_needed")).join(needed, "template")
+    # Postings of each template's rarest mandatory word; the places around one are all that its template can reach.
+    lookups = rare.filter("needed").select("template", "word", "at").join(templates, "template").filter(F.col("word") == F.col("anchors")[0])
+    rarest = [r.word for r in needed.select(F.col("anchors")[0].alias("word")).distinct().collect()]  # a word a template at most
+    postings = F.filter(F.transform("seen", lambda s, k: F.struct(
+        s["word"].alias("word"), s["at"].alias("place"), k.alias("k"))), lambda s: s["word"].isin(rarest))
+    reach = max(len(text.split()) for _, text, _ in TEMPLATES)
+    near = F.slice("seen", F.greatest(F.col("s.k") - reach + 2, F.lit(1)), 2 * reach)  # k counts from 0, slice from 1
+    found = facts.filter(F.arrays_overlap("held", F.array(*[F.lit(w) for w in rarest])) & F.col("seen").isNotNull()).select(
+        "row", "seen", F.explode(postings).alias("s")).select("row", F.col("s.word").alias("word"), F.col("s.place").alias("place"), near.alias("near"))
+    met = found.join(F.broadcast(lookups), "word").withColumn("start", F.col("place") - F.col("at"))
+    stands = lambda p: F.exists("near", lambda x: (x["word"] == p["word"]) & (x["at"] == F.col("start") + p["at"]))
+    # The other anchors' postings at the same start, then every word of the mandatory phrases, then the whole template.
+    met = met.filter(F.forall("anchors", lambda a: F.exists("parts", lambda p: p["needed"] & (p["word"] == a) & stands(p))))
+    held_parts = met.withColumn("got", F.filter("parts", stands))
+    holds = held_parts.filter(F.size(F.filter("got", lambda p: p["needed"])) == F.col("n_needed"))
+    share = F.aggregate(F.array_sort(F.col("got.idf")), F.lit(0.0), lambda total, x: total + x) / F.col("weight")
+    answers = holds.groupBy("row").agg(F.collect_set("label").alias("method"), F.max(F.round(share, 6)).alias("score"))
     out = facts.select("row", "doc_id", "n_words", "base").join(answers, "row", "left")
     return out.select("doc_id", "n_words", F.col("base.at").alias("base_places"), F.array_distinct("base.label").alias("base_labels"),
                       F.coalesce("method", F.array().cast("array<string>")).alias("method_labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -291,6 +291,44 @@ def test_reference_points_do_not_depend_on_how_they_are_drawn(spark):
     assert len(few) == 40 and few == pivots._drawn(vectors, 100, 40).to_pylist()
 
 
+def test_licenses_equal_every_template_at_every_place(spark):
+    pick, texts = random.Random(11), [None, "", "mit", "x " * 3000 + "released under the mit license " * 40]
+    loose = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()})
+    for _ in range(120):
+        parts = []
+        for _ in range(pick.randint(1, 6)):
+            words = pick.choice(licenses.TEMPLATES)[1].split()
+            if pick.random() < 0.4:
+                words[pick.randrange(len(words))] = "other"
+            parts += pick.choices(loose, k=pick.randint(0, 5)) + words[pick.choice([0, 0, 2]):]
+        texts.append(" ".join(parts).title())
+    texts += [texts[-1]] * 2
+    frame = docs(spark, texts)
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for t in texts]
+    seen = [{w for w in words} for words in split]
+    idf = {w: np.log((len(texts) + 1) / (sum(w in s for s in seen) + 1)) + 1 for w in loose}
+    got = {r.doc_id: r for r in licenses.scanned(frame).collect()}
+    for i, words in enumerate(split):
+        labels, best = set(), 0.0
+        for label, text, part in licenses.TEMPLATES:
+            t, m = text.split(), part.split()
+            first = next(k for k in range(len(t)) if t[k:k + len(m)] == m)
+            for at in range(-first, len(words)):
+                if words[max(at + first, 0):at + first + len(m)] == m:
+                    labels.add(label)
+                    here = [w for k, w in enumerate(t) if 0 <= at + k < len(words) and words[at + k] == w]
+                    best = max(best, sum(idf[w] for w in here) / sum(idf[w] for w in t))
+        assert set(got[i].method_labels) == labels and got[i].score == pytest.approx(best, abs=1e-6), texts[i]
+
+
+def test_what_base_spans_leave_of_a_run_is_scored():
+    known = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(60)]
+    automata = [secret_scan.Automaton(known)]
+    text = "see token=abc+" + "AKIA" + "B" * 16 + "/x and more"
+    assert [s for s in secret_scan.spans_of(text, automata) if s[2] != "grammar"] == [s[:3] for s in sorted(secret_scan.base_spans(text))]
+    assert list(secret_scan._uncovered([(0, 30), (40, 60)], [(5, 10, "hex"), (8, 12, "access"), (25, 45, "assign")])) == [(0, 5), (12, 25), (45, 60)]
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>a</p>" * 3, "x"), (1, "u", "<p>a</p>" * 3, "x")], "page_id bigint, url string, html string, text string")
     got = [tuple(r) for r in html_text.extracted(pages).collect()]
