@@ -2,7 +2,7 @@
 
 Known credentials (kind, value) become a prefix tree of character classes with counts. States whose outgoing shares
 agree within a Hoeffding bound, all the way down, are merged; what remains is a small probabilistic automaton per kind. A
-run of token characters that no base span covers is scored by its mean log-likelihood per character under each automaton and
+part of a run of token characters that no base span covers is scored by its mean log-likelihood per character under each automaton and
 becomes a span of kind ``grammar`` if it is as likely as the credentials learned from.
 
 Cases: null and empty texts have no spans. Repeated rows are scanned one by one, null ids stay null, texts of any length are
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.llm import words as W
-from paywarden.llm.shared import travels
+from paywarden.llm.shared import stored, travels
 
 travels(__name__)
 
@@ -187,7 +187,7 @@ def known(docs: DataFrame) -> DataFrame:
 
 def learn(credentials: DataFrame, values: int = LEARNED_VALUES) -> list[Automaton]:
     """One automaton per kind from at most ``values`` distinct credentials each, picked by their hash."""
-    rows = credentials.filter(F.length("value") > 0).select("kind", "value").distinct()
+    rows = stored(credentials.filter(F.length("value") > 0).select("kind", "value").distinct(), "credentials")  # read once for all kinds
     picked = rows.filter(F.lit(False))
     for kind in KINDS[:3]:
         picked = picked.union(rows.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(values))
@@ -197,14 +197,29 @@ def learn(credentials: DataFrame, values: int = LEARNED_VALUES) -> list[Automato
     return [Automaton(sorted(by_kind[k])) for k in sorted(by_kind)]
 
 
+def _uncovered(runs, spans):
+    """The parts of ``runs`` outside ``spans``; both by start."""
+    at = 0
+    for a, b in runs:
+        while at < len(spans) and spans[at][1] <= a:
+            at += 1
+        for start, end, _ in spans[at:]:
+            if start >= b:
+                break
+            if start > a:
+                yield a, start
+            a = max(a, end)
+        if a < b:
+            yield a, b
+
+
 def spans_of(text: str, automata: list[Automaton]) -> list[tuple[int, int, str]]:
     """All spans of one text as (start, end, kind), by start and then kind as listed."""
     base = [s[:3] for s in base_spans(text)]
     found = list(base)
     if automata:
-        for m in RUN.finditer(text):
-            a, b = m.span()
-            if re.search("[0-9]", m[0]) and not any(s < b and a < e for s, e, _ in base) and any(x.accepts(m[0]) for x in automata):
+        for a, b in _uncovered([m.span() for m in RUN.finditer(text)], sorted(base)):
+            if b - a >= LEAST_RUN and re.search("[0-9]", text[a:b]) and any(x.accepts(text[a:b]) for x in automata):
                 found.append((a, b, "grammar"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
