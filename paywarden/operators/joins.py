@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 HEAVY_SHARE = 0.002
 HEAVY_FLOOR = 100_000
+#: Sketches of input partitions that are joined into one.
+SKETCHES = 64
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -17,17 +21,23 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, floor: int = HEAVY_FLOOR) -> Column:
-    """Array of the keys holding more than ``share`` of the rows, as a scalar subquery.
+    """Array of the keys holding more than ``share`` of the rows (and more than ``floor``), as a scalar subquery.
 
-    At most ``1 / share`` such keys can exist, whatever the data. The count reads one column and is
-    combined on the map side.
+    At most ``1 / share`` such keys can exist, whatever the data. They are found by a frequent-items sketch of bounded
+    size: one for every few input partitions, then one of all, so nothing is shuffled by the key and no key is counted
+    exactly. The sketch misses none, as its error is a fraction of ``share``; a key a little below it may come along.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    heavy = (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > F.greatest(total * F.lit(share), F.lit(float(floor))))
-    )
-    return heavy.agg(F.collect_list(key)).scalar()
+    most, tracked = math.ceil(1 / share) + 1, math.ceil(16 / share)
+    kind = df.schema[key].dataType
+    # One row without a key, so that an empty frame has a sketch as well.
+    keys = df.select(F.col(key).alias("k"), F.lit(1).alias("n")).union(
+        df.sparkSession.range(1).select(F.lit(None).cast(kind).alias("k"), F.lit(0).alias("n")))
+    parts = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("part")).agg(
+        F.expr(f"approx_top_k_accumulate(k, {tracked})").alias("sketch"), F.sum("n").alias("n"))
+    whole = parts.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.sum("n").alias("n"))
+    found = whole.select(F.expr(f"approx_top_k_estimate(sketch, {most})").alias("found"), "n")
+    least = F.greatest(F.col("n") * F.lit(share * 0.75), F.lit(float(floor)))
+    return found.select(F.transform(F.filter("found", lambda x: x["item"].isNotNull() & (x["count"] > least)), lambda x: x["item"])).scalar()
 
 
 def _salted(big: DataFrame, small: DataFrame, key_of_big: Column, key_of_small: Column, hot: Column, spread: Column,

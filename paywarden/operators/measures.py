@@ -13,8 +13,20 @@ DIMENSIONS = ["program", "risk_level", "recommended_disposition"]
 E, V = "improper_payment_exposure_usd", "projected_recovery_if_investigated_usd"
 
 
-def _count_where(c: Column) -> Column:
-    return F.sum(F.when(c, 1).otherwise(0))
+def values() -> dict[str, Column]:
+    """What each row adds to each part."""
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return {
+        "payment_count": F.lit(1),
+        "total_queue_value_usd": F.col("payment_amount_usd"),
+        "n_signals_total": F.col("n_signals"),
+        E: F.col(E),
+        V: F.col(V),
+        "high_confidence_count": one(F.col("confidence_score") >= 0.85),
+        "release_recommended_count": one(F.col("recommended_disposition") == R.RELEASE),
+        "hold_recommended_count": one(F.col("recommended_disposition") == R.HOLD),
+        "investigate_recommended_count": one(F.col("recommended_disposition") == R.REFER),
+    }
 
 
 # Additive parts, then measures derived from parts. Averages stay a sum and a count until the end, so a
@@ -24,17 +36,7 @@ MEASURES: dict[str, Column] = {}
 
 
 def _define() -> None:
-    PARTS.update({
-        "payment_count": F.count(F.lit(1)),
-        "total_queue_value_usd": F.sum("payment_amount_usd"),
-        "n_signals_total": F.sum("n_signals"),
-        E: F.sum(E),
-        V: F.sum(V),
-        "high_confidence_count": _count_where(F.col("confidence_score") >= 0.85),
-        "release_recommended_count": _count_where(F.col("recommended_disposition") == R.RELEASE),
-        "hold_recommended_count": _count_where(F.col("recommended_disposition") == R.HOLD),
-        "investigate_recommended_count": _count_where(F.col("recommended_disposition") == R.REFER),
-    })
+    PARTS.update({n: F.sum(v) for n, v in values().items()} | {"payment_count": F.count(F.lit(1))})
     n = F.col("payment_count")
     MEASURES.update({
         "payment_count": n,
@@ -59,6 +61,8 @@ def parts(scored: DataFrame, dims: list[str]) -> DataFrame:
 
 def coarser(stored: DataFrame, dims: list[str]) -> DataFrame:
     """Stored parts re-aggregated to a subset of their dimensions; every part is additive."""
+    if not PARTS:
+        _define()
     return stored.groupBy(*dims).agg(*[F.sum(n).alias(n) for n in PARTS])
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.functions import rules as R
 from paywarden.operators import desk as K
 from paywarden.operators import measures as M
+from paywarden.operators.upkeep import PartStore
 from paywarden.plans.registry import Context, query
 from paywarden.plans.twin import arr, dbl, txt
 from paywarden.session import work_dir
@@ -93,6 +96,27 @@ def aggregate_materialization(c: Context) -> DataFrame:
     return out
 
 
+@query("aggregate_upkeep", f"""
+    SELECT program, risk_level, recommended_disposition, {MEASURES_SQL} FROM scored
+    GROUP BY program, risk_level, recommended_disposition""")
+def aggregate_upkeep(c: Context) -> DataFrame:
+    """Measures from parts that three batches of changes kept up to date.
+
+    First the queue as it stood 60 days before its last day; of the payments of the 60 days before that, the first assessment
+    (release, no confidence). Then the newer payments come in, then the first assessments are replaced by the final ones.
+    """
+    rows = c.with_stored_queue().s.scored
+    newer = F.col("queue_date") > F.lit(QUEUE_AS_OF - dt.timedelta(days=60))
+    early = ~newer & (F.col("queue_date") > F.lit(QUEUE_AS_OF - dt.timedelta(days=120)))
+    first = rows.filter(early).withColumn("recommended_disposition", F.lit(R.RELEASE)).withColumn("confidence_score", F.lit(0.0))
+    store = PartStore(c.spark, work_dir(c.spark, "measure-upkeep"), M.DIMENSIONS)
+    undated = F.col("queue_date").isNull()
+    store.apply(0, None, rows.filter(undated | ~newer & ~early).unionByName(first))
+    store.apply(1, None, rows.filter(newer))
+    store.apply(2, first, rows.filter(early))
+    return store.measures(M.DIMENSIONS)
+
+
 @query("exposure_by_program", f"""
     SELECT program, CAST(round(sum({E})) AS DOUBLE) AS improper_exposure_usd, count(*) AS flagged_cases
     FROM open_queue GROUP BY program""")
