@@ -6,7 +6,8 @@ restart after a failure neither loses nor doubles rows. Readers fold the folders
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +35,29 @@ def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_available(stream: DataFrame, mode: str, sink, checkpoint: str) -> None:
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block; a stream keeps those that it was started with."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def run_available(stream: DataFrame, mode: str, sink, checkpoint: str, conf: dict[str, str] | None = None) -> None:
     """Process everything that is there, in as many micro-batches as the source asks for, then stop."""
-    handle = (
-        stream.writeStream.outputMode(mode).foreachBatch(sink)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    with settings(stream.sparkSession, conf or {}):
+        handle = (
+            stream.writeStream.outputMode(mode).foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
     handle.awaitTermination()
 
 

@@ -22,6 +22,8 @@ from paywarden.streaming.feeds import batch_sink, file_stream, read_batches, run
 #: Instants are microseconds, which no time zone changes on the way to a worker and back.
 VERSION = "_sort_by long, at long, status string, action_type string, kind string"
 INTERVAL = f"id long, {VERSION}, valid_to long"
+#: Lists and timers of one key lie in a store with column families, which the session's own store need not be; Spark's default has none.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 class Intervals(StatefulProcessor):
@@ -62,7 +64,7 @@ def stream_history(spark: SparkSession, source: str, schema: T.StructType, out:
         "_timestamp", F.col("_timestamp").cast("timestamp")).withWatermark("_timestamp", lateness)
     sent = feed.select("id", "_sort_by", "_timestamp", F.unix_micros("_timestamp").alias("at"), "status", "action_type", "_pg_change_type").groupBy("id").transformWithState(
         Intervals(), INTERVAL, "Update", "EventTime")
-    run_available(sent, "update", batch_sink(out), checkpoint)
+    run_available(sent, "update", batch_sink(out), checkpoint, STORE)
     rows = read_batches(spark, out, sent.schema).groupBy("id", "_sort_by").agg(
         F.max_by(F.struct("at", "status", "action_type", "kind", "valid_to"), "batch").alias("v")).select("id", "_sort_by", "v.*")
     ranked = distributed_rank(rows, ["id"], [F.asc("_sort_by")], "version")

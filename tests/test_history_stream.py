@@ -49,6 +49,23 @@ def test_late_changes_correct_intervals_and_a_restart_goes_on(spark, order):
     assert listed(history.stream_history(spark, path, schema, out, state, "40 days", files_per_trigger=1)) == want
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PLAIN = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+def test_a_session_with_sparks_default_state_store_streams_too_and_keeps_its_setting(spark):
+    rows, before = feed(), spark.conf.get(PROVIDER)
+    path, out, state = (work_dir(spark, n) for n in ("feed", "history", "state"))
+    write(spark, rows, path, 20)
+    spark.conf.set(PROVIDER, PLAIN)
+    try:
+        got = listed(history.stream_history(spark, path, spark.createDataFrame([], DDL).schema, out, state, "40 days", files_per_trigger=1))
+        assert spark.conf.get(PROVIDER) == PLAIN
+    finally:
+        spark.conf.set(PROVIDER, before)
+    assert got == listed(changes.history(spark.createDataFrame(rows, DDL)))
+
+
 def micros(**since):
     return dt.timedelta(**since) // dt.timedelta(microseconds=1)
 
