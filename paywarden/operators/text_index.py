@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from paywarden.functions.stems import stem
 from paywarden.functions.text import tokens
-from paywarden.operators.joins import sized_join
 from paywarden.operators.search import K1, B, query_terms
 
-#: Document ids a block spans, as a power of two; folders; stretches dealt to one writer of a folder.
-STRETCH, FOLDERS, STRETCHES_PER_WRITER = 10, 16, 4096
-#: Vocabularies up to this number of terms are broadcast to the words; larger ones are joined by a shuffle with heavy terms salted.
+#: Document ids a block spans, as a power of two; folders; words of one task that writes blocks.
+STRETCH, FOLDERS, WORDS_PER_TASK = 10, 16, 2_000_000
+#: Terms with one in so many words have their stems broadcast; no more than this number can have that share.
 BROADCAST_STEMS = 1_000_000
 #: Stretches scored before the bound is known, and what rounding may hide.
 FIRST, ROUNDED = 8, 1e-6
@@ -36,39 +35,38 @@ def _folder(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
-def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, length, term), a row for each word."""
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), tokens(F.col(text)).alias("t"))
-    return rows.select("doc", F.size("t").alias("length"), F.explode("t").alias("term"))
-
-
 def stems_of(words: DataFrame) -> DataFrame:
     """(term, stem) of every distinct term; rules run once a term, not once an occurrence, and on all cores."""
     return words.select("term").distinct().repartition(words.sparkSession.sparkContext.defaultParallelism).withColumn("stem", stem(F.col("term")))
 
 
 def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
-    """Write the blocks and the collection's figures below ``path``."""
+    """Write the blocks and the collection's figures below ``path``.
+
+    Texts are split once and lie as words from then on. They are shuffled as they are, a stretch to one task, whose blocks need no
+    further shuffle; their number follows the number of words. Stems of frequent terms are looked up, the rules run on the others.
+    """
     spark = docs.sparkSession
-    # Texts are split once; what follows reads the counts.
-    _words(docs, key, text).groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf")).write.parquet(f"{path}/counts")
-    words = spark.read.schema("doc bigint, length int, term string, tf bigint").parquet(f"{path}/counts")
-    stems_of(words).write.parquet(f"{path}/stems")
+    split = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), tokens(F.col(text)).alias("t"))
+    split.select("doc", F.size("t").alias("length"), F.array_join("t", " ").alias("words")).filter("length > 0").write.parquet(f"{path}/words")
+    texts = spark.read.schema("doc bigint, length int, words string").parquet(f"{path}/words")
+    length = texts.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first().length
+    words = F.explode(F.split("words", " ")).alias("word")
+    often = texts.select(words).groupBy(F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * BROADCAST_STEMS >= length)
+    stems_of(often).write.parquet(f"{path}/stems")
     stems = spark.read.schema("term string, stem string").parquet(f"{path}/stems")
-    stretch = F.shiftright(F.col("doc"), STRETCH)
-    stemmed = sized_join(words, stems, ["term"], "inner", max_rows=BROADCAST_STEMS).select(
-        "doc", "length", "tf", F.col("stem").alias("term"), stretch.alias("stretch"), _folder(F.col("stem")).alias("folder")).withColumn(
-        "writer", F.floor(F.col("stretch") / STRETCHES_PER_WRITER))
-    # One shuffle: both groupings and the sorted files keep the partitioning by folder and writer.
-    place = ["folder", "writer", "term", "stretch"]
-    by_doc = stemmed.repartition("folder", "writer").groupBy(*place, "doc").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
-    blocks = by_doc.groupBy(*place).agg(
+    tasks = max(length // WORDS_PER_TASK + 1, spark.sparkContext.defaultParallelism)
+    dealt = texts.withColumn("stretch", F.shiftright(F.col("doc"), STRETCH)).repartition(tasks, "stretch")
+    stemmed = dealt.select("stretch", "doc", "length", words).join(F.broadcast(stems), F.col("word") == F.col("term"), "left").select(
+        "stretch", "doc", "length", F.coalesce("stem", stem(F.col("word"))).alias("term"))
+    by_doc = stemmed.groupBy("stretch", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    blocks = by_doc.groupBy("stretch", "term").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"), F.min("length").alias("shortest"),
         F.sort_array(F.collect_list(F.struct("doc", "tf", "length"))).alias("p"))
-    blocks.select("folder", "term", "stretch", "n", "occurrences", "most", "shortest", F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"),
-                  F.col("p.length").alias("lengths")).sortWithinPartitions("folder", "term", "stretch").write.partitionBy("folder").parquet(f"{path}/blocks")
-    total = index_blocks(spark, path).agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("length"))
-    total.select("length", docs.agg(F.count(F.lit(1))).scalar().alias("n")).write.parquet(f"{path}/figures")
+    blocks.select(_folder(F.col("term")).alias("folder"), "term", "stretch", "n", "occurrences", "most", "shortest", F.col("p.doc").alias("docs"),
+                  F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths")).sortWithinPartitions("folder", "term", "stretch").write.partitionBy(
+                      "folder").parquet(f"{path}/blocks")
+    docs.agg(F.lit(length).cast("bigint").alias("length"), F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/figures")
 
 
 def index_blocks(spark: SparkSession, path: str) -> DataFrame:

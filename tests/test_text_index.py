@@ -81,6 +81,25 @@ def test_blocks_that_cannot_matter_are_not_read(spark, monkeypatch):
     assert re.search(r"PartitionFilters: \[[^\n]*folder", plan) and re.search(r"PushedFilters: \[[^\n]*\(term", plan)
 
 
+def test_tasks_follow_the_words_and_postings_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(I, "STRETCH", 4)
+    monkeypatch.setattr(I, "WORDS_PER_TASK", 500)
+    monkeypatch.setattr(I, "BROADCAST_STEMS", 2)  # most terms are stemmed by the rules
+    rows, path = corpus(400), work_dir(spark, "text-index")
+    I.write_index(spark.createDataFrame(rows, "d bigint, t string"), "d", "t", path)
+    blocks = I.index_blocks(spark, path).withColumn("file", F.input_file_name())
+    assert blocks.groupBy("folder").agg(F.countDistinct("file").alias("n")).agg(F.max("n")).first()[0] > 2
+    assert blocks.groupBy("term", "stretch").count().filter("count > 1").isEmpty()
+    assert [(r.doc, r.score) for r in I.Search(spark, path, "Paying holds", 10).top().collect()] == by_hand(rows, ["pai", "hold"], 10)
+
+
+def test_rows_of_one_id_are_one_document(spark, monkeypatch):
+    path = work_dir(spark, "text-index")
+    I.write_index(spark.createDataFrame([(1, "hold x"), (1, "holds x"), (2, "hold"), (None, "hold")], "d bigint, t string").repartition(3), "d", "t", path)
+    held = I.index_blocks(spark, path).filter("term = 'hold'").first()
+    assert (held.docs, held.tfs, held.lengths, held.n, held.occurrences) == ([1, 2], [2, 1], [2, 1], 2, 3)
+
+
 def test_nothing_indexed_and_nothing_asked(spark):
     path = work_dir(spark, "text-index")
     I.write_index(spark.createDataFrame([], "d bigint, t string"), "d", "t", path)
