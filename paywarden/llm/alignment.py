@@ -24,6 +24,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,10 +146,14 @@ class Spelled:
         return [ok and np.array_equal(self.joined(x), np.frombuffer(w, np.uint8)) for x, w, ok in zip(lists, want, fits)]
 
 
-def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of each list stand up to the end of each group; ``a`` and ``b`` are the byte ends of tokens."""
+def stretches(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """How many tokens of each list stand up to the end of each stretch, and its number of groups: all one to one, or a single irregular one.
+
+    ``a`` and ``b`` are the byte ends of tokens.
+    """
     out_a: list[int] = []
     out_b: list[int] = []
+    groups: list[int] = []
     i = j = 0
     n, m = len(a), len(b)
     while i < n:
@@ -170,16 +175,11 @@ def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                         differs = middle
                 run += same
                 break
-            if run == 1:
-                i += 1
-                j += 1
-                out_a.append(i)
-                out_b.append(j)
-            else:
-                out_a.extend(range(i + 1, i + run + 1))
-                out_b.extend(range(j + 1, j + run + 1))
-                i += run
-                j += run
+            i += run
+            j += run
+            out_a.append(i)
+            out_b.append(j)
+            groups.append(run)
             if i == n:
                 break
             x, y = a[i], b[j]
@@ -194,7 +194,22 @@ def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         j += 1
         out_a.append(i)
         out_b.append(j)
-    return out_a, out_b
+        groups.append(1)
+    return out_a, out_b, groups
+
+
+def upto(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of each list stand up to the end of each group, from their byte ends."""
+    *lasts, groups = (np.array(x, np.int64) for x in stretches(a, b))
+    place = np.cumsum(groups)
+    one = np.arange(1, place[-1] + 1 if len(place) else 1)
+    return tuple(np.repeat(last - place, groups) + one for last in lasts)
+
+
+def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """``upto`` as lists."""
+    ends_a, ends_b = upto(a, b)
+    return ends_a.tolist(), ends_b.tolist()
 
 
 def written(a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray, names: dict[str, np.ndarray]) -> str:
@@ -235,9 +250,9 @@ def _aligner(shared):
             if not len(a):
                 return doc_id, 0, 0, 0, 0, "", a, a
             ends_a, ends_b = (np.cumsum(x.length[i]) for x, i in zip(pair.spelled, ids))
-            upto = [np.array(x, np.int64) for x in group_ends(ends_a.tolist(), ends_b.tolist())]
+            upto_a, upto_b = upto(ends_a.tolist(), ends_b.tolist())
             pairs, n = linked(a, b, ends_a, ends_b)
-            return doc_id, len(a), len(b), len(upto[0]), int(n.sum()), written(a, b, *upto, pair.names), pairs, n
+            return doc_id, len(a), len(b), len(upto_a), int(n.sum()), written(a, b, upto_a, upto_b, pair.names), pairs, n
 
         def emit():
             ids, *numbers, texts, pairs, n = zip(*rows)
@@ -250,7 +265,7 @@ def _aligner(shared):
 
         for batch in batches:
             ids, texts = batch.columns
-            lengths = [len(t) if t else 0 for t in (texts[i].as_py() for i in range(batch.num_rows))]
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             first = 0
             while first < batch.num_rows:
                 last, total = first + 1, lengths[first]

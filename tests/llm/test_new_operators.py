@@ -327,6 +327,14 @@ def test_groups_of_made_up_ends():
         assert alignment.group_ends(a, b) == ([sum(x <= c for x in a) for c in cuts], [sum(x <= c for x in b) for c in cuts])
 
 
+def test_a_long_one_to_one_stretch_is_one_entry_until_groups_are_numbered():
+    a = list(range(1, 10_001))
+    b = [*range(1, 5_001), 5_003, *range(5_004, 10_001)]
+    assert alignment.stretches(a, b) == ([5_000, 5_003, 10_000], [5_000, 5_001, 9_998], [5_000, 1, 4_997])
+    assert alignment.group_ends(a, b) == ([*range(1, 5_001), *range(5_003, 10_001)], [*range(1, 9_999)])
+    assert alignment.group_ends([], []) == ([], [])
+
+
 def test_the_fast_library_gives_the_ids_of_the_file(pair):
     assert pair.fast is not None
     texts = [" " + t for t in TEXTS if t] + [" " + prose(s, 200) for s in range(20)]
