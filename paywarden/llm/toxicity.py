@@ -54,11 +54,12 @@ def _lister(batches):
             [pa.array([found[i] for i in range(batch.num_rows)], pa.list_(pa.int32())), batch.column(1)], names=["features", "label"])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float = 2.0, l1: float = 4.0, l2: float = 0.1, passes: int = 6,
+def fit(found: np.ndarray, limits: np.ndarray, labels: np.ndarray, rate: float = 2.0, l1: float = 4.0, l2: float = 0.1, passes: int = 6,
         seen: int = 5) -> Weights:
     """FTRL-proximal: per-coordinate sums of gradients and of their squares give the weight in closed form.
 
-    A feature takes part once ``seen`` texts hold it, so that no text is learned by heart from what only it has.
+    Row k has the features ``found[limits[k]:limits[k + 1]]``, each once; the array is written over. A feature takes part once ``seen`` texts hold it, so that
+    no text is learned by heart from what only it has.
     """
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
@@ -70,18 +71,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rate: float = 2.0, l1: float
     def weight(i):
         return -np.where(np.abs(z[i]) <= l1, 0.0, z[i] - np.sign(z[i]) * l1) / ((1 + np.sqrt(n[i])) / rate + l2)
 
-    common = np.zeros(size, np.int32)
-    for r in rows:
-        common[r] += 1
-    rows = [np.append(r[common[r] >= seen], size - 1) for r in rows]
+    common, ends = np.zeros(size, np.int32), [0]
+    for first, last in zip(limits, limits[1:]):
+        common[found[first:last]] += 1
+    for first, last in zip(limits, limits[1:]):
+        taking_part = found[first:last][common[found[first:last]] >= seen]
+        ends.append(ends[-1] + len(taking_part))
+        found[ends[-2]:ends[-1]] = taking_part
+    limits = np.array(ends)
     for _ in range(passes):
-        for k in order.permutation(len(rows)):
-            i = rows[k]
+        for k in order.permutation(len(limits) - 1):
+            i = np.append(found[limits[k]:limits[k + 1]], size - 1)
             w = weight(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / rate * w
             n[i] += g * g
-    every = weight(np.arange(size))
+    every = np.concatenate([weight(np.arange(k, min(k + (1 << 16), size))) for k in range(0, size, 1 << 16)])
     kept = np.flatnonzero(every[:-1])
     return Weights(float(every[-1]), kept.astype(np.int32), every[kept].astype(np.float32))
 
@@ -99,10 +104,28 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> Data
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = LEARNED_ROWS) -> Weights:
     """Features are made on the executors; the bounded sample of them is learned from in one process."""
     sample = labelled(docs, labels, column, rows).mapInArrow(_lister, "features array<int>, label double").toArrow()
-    found = sample["features"].combine_chunks() if sample.num_rows else []
-    # Rows arrive in any order; sorted, the result does not depend on it.
-    pairs = sorted(((np.asarray(f.values, np.int32), l) for f, l in zip(found, sample["label"].to_pylist())), key=lambda p: (len(p[0]), p[0].tobytes(), p[1]))
-    return fit([p[0] for p in pairs], np.array([p[1] for p in pairs]))
+    lists, marks = sample["features"], sample["label"].to_numpy()
+    found = np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy() for c in lists.chunks)])
+    sizes = np.concatenate([np.empty(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in lists.chunks)]).astype(np.int64)
+    del sample, lists
+    pa.default_memory_pool().release_unused()
+    return fit(*_in_order(found, sizes, marks))
+
+
+def _in_order(found: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, limits and labels of rows that arrive in any order, sorted so that the result does not depend on it.
+
+    All features lie in one array; bytes to compare are made for rows of one length at a time, so that the driver holds few copies.
+    """
+    starts, order = np.append(0, np.cumsum(sizes)), []
+    by_size = np.argsort(sizes, kind="stable")
+    for alike in np.split(by_size, np.flatnonzero(np.diff(sizes[by_size])) + 1):
+        order.extend(sorted(alike.tolist(), key=lambda k: (found[starts[k]:starts[k + 1]].tobytes(), marks[k])))
+    order = np.array(order, np.int64)
+    limits, out = np.append(0, np.cumsum(sizes[order])), np.empty_like(found)
+    for k, first, last in zip(order, limits, limits[1:]):
+        out[first:last] = found[starts[k]:starts[k + 1]]
+    return out, limits, marks[order]
 
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
