@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from paywarden.llm import words as W
 from paywarden.llm.components import components
-from paywarden.llm.shared import stored, travels
+from paywarden.llm.shared import in_hand, stored, travels
 
 travels(__name__)
 
@@ -77,7 +77,7 @@ def band_keys(lowest: np.ndarray) -> np.ndarray:
 
 def _signer(n: int):
     def sign(batches):
-        for batch in batches:
+        for batch in in_hand(batches):
             rows = {}
             for i, found in _sets(batch.column(1), n):
                 if len(found):
@@ -94,7 +94,7 @@ def _signer(n: int):
 
 def _set_writer(n: int):
     def write(batches):
-        for batch in batches:
+        for batch in in_hand(batches):
             keys, sets = [], []
             for _, found in _sets(batch.column(0), n):
                 if len(found):
@@ -378,7 +378,7 @@ def _keyed(docs: DataFrame, n: int) -> DataFrame:
     at, names = docs.columns.index("text"), [*docs.columns, KEY]
 
     def run(batches):
-        for batch in batches:
+        for batch in in_hand(batches):
             keys = [None] * batch.num_rows
             for i, found in _sets(batch.column(at), n):
                 if len(found):

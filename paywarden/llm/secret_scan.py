@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.llm import words as W
-from paywarden.llm.shared import stored, travels
+from paywarden.llm.shared import in_hand, stored, travels
 
 travels(__name__)
 
@@ -64,7 +64,7 @@ def _runs(mark: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 def worth_reading(column: pa.Array) -> np.ndarray:
     """Rows that can hold a span at all, found on the bytes: a keyword, ``AKIA``, a long hex run or a long run with a digit.
 
-    Runs are looked for over a million bytes at a time; one that touches the cut marks the row, so none is lost.
+    Runs are looked for over 256 KB at a time; one that touches the cut marks the row, so none is lost.
     """
     data, limits = W.buffers(column)
     out = np.zeros(len(column), bool)
@@ -87,7 +87,7 @@ def worth_reading(column: pa.Array) -> np.ndarray:
         if not out[i]:
             lower = text.lower()
             out[i] = b"AKIA" in text or any(k.encode() in lower for k in KEYWORDS)
-    return out
+    return out & column.is_valid().to_numpy(zero_copy_only=False)  # a null between two parts of a run has no text
 
 
 class Automaton:
@@ -174,7 +174,7 @@ class Automaton:
 def known(docs: DataFrame) -> DataFrame:
     """(kind, value) of every base span of every text: the labelled credentials to learn from."""
     def run(batches):
-        for batch in batches:
+        for batch in in_hand(batches):
             kinds, values = [], []
             rows = np.flatnonzero(worth_reading(batch.column(0)))
             for text in batch.column(0).take(pa.array(rows)).to_pylist():
@@ -227,7 +227,7 @@ def spans_of(text: str, automata: list[Automaton]) -> list[tuple[int, int, str]]
 def scanned(docs: DataFrame, automata: list[Automaton]) -> DataFrame:
     """doc_id and the list of spans (kind, from, upto) of every row."""
     def run(batches):
-        for batch in batches:
+        for batch in in_hand(batches):
             out = [[] for _ in range(batch.num_rows)]
             for i in np.flatnonzero(worth_reading(batch.column(1))):
                 out[i] = [{"kind": k, "from": a, "upto": b} for a, b, k in spans_of(batch.column(1)[int(i)].as_py(), automata)]
@@ -251,7 +251,7 @@ def without_secrets(docs: DataFrame, automata: list[Automaton], mark: str = "[se
         return "".join(parts) + text[done:]
 
     def run(batches):
-        for batch in batches:
+        for batch in in_hand(batches):
             rows = np.flatnonzero(worth_reading(batch.column(at)))
             columns = list(batch.columns)
             if len(rows):

@@ -18,6 +18,17 @@ def travels(module: str) -> None:
 
 travels(__name__)
 
+#: Bytes of a batch that a worker has in hand at a time.
+IN_HAND = 4 << 20
+
+
+def in_hand(batches):
+    """Each batch in slices of a few megabytes: what a worker makes of the texts beside them is as small, however many rows a batch has."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * IN_HAND // max(batch.nbytes, IN_HAND))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written once below the cluster's shared folder and read again; this cuts the lineage."""

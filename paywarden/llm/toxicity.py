@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.llm import words as W
-from paywarden.llm.shared import fold_of, travels
+from paywarden.llm.shared import fold_of, in_hand, travels
 
 travels(__name__)
 
@@ -48,7 +48,7 @@ def _each(column: pa.Array):
 
 
 def _lister(batches):
-    for batch in batches:
+    for batch in in_hand(batches):
         found = {i: np.unique(f) for i, f in _each(batch.column(0))}
         yield pa.RecordBatch.from_arrays(
             [pa.array([found[i] for i in range(batch.num_rows)], pa.list_(pa.int32())), batch.column(1)], names=["features", "label"])
@@ -133,7 +133,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
     def run(batches):
         dense = np.zeros(1 << BITS, np.float64)
         dense[weights.features] = weights.values
-        for batch in batches:
+        for batch in in_hand(batches):
             out = np.zeros(batch.num_rows)
             for i, f in _each(batch.column(1)):
                 out[i] = dense[np.unique(f[dense[f] != 0])].sum()
@@ -151,7 +151,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     def run(batches):
         dense = np.zeros(1 << BITS, np.float64)
         dense[weights.features] = weights.values
-        for batch in batches:
+        for batch in in_hand(batches):
             out = np.zeros(batch.num_rows)
             for i, f in _each(batch.column(at)):
                 out[i] = dense[np.unique(f[dense[f] != 0])].sum()

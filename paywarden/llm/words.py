@@ -12,7 +12,7 @@ from paywarden.llm.shared import travels
 travels(__name__)
 
 U = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
 PLACE = _rng.integers(1, 1 << 63, 64, dtype=U) * U(2) + U(1)
@@ -76,7 +76,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_groups(column: pa.Array, separator: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Groups of rows as (first row, word hashes, limits of each row in these).
 
-    A group has about 1 MB of text; a longer row is hashed in pieces cut at separators, so the memory beside the
+    A group has about 256 KB of text; a longer row is hashed in pieces cut at separators, so the memory beside the
     text is a few bytes for each of its words.
     """
     data, limits = buffers(column)
