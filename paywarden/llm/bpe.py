@@ -1,9 +1,9 @@
 """Byte-level BPE over a rank file, in linear time, without merging pair by pair.
 
-Bytes stand as Latin-1 characters in an Aho-Corasick automaton of all tokens. Encoding takes the longest token at each
+Bytes stand as Latin-1 characters in the trie of an Aho-Corasick automaton of all tokens. Encoding takes the longest token at each
 place; if it can't follow its predecessor, a shorter one, and if none can, it steps back. Whether two tokens may stand side by
-side (their joint bytes merge to just these two) is worked out once per pair and kept. A token sequence in which all
-neighbours may is the one that merging by rank gives.
+side (their joint bytes merge to just these two) is worked out once per pair, by taking back the merges that made them, and kept.
+A token sequence in which all neighbours may is the one that merging by rank gives.
 
 Cases: null and empty texts have no tokens. Repeated rows and ids are rows of their own, null ids stay null, extra
 columns are not looked at; empty in, empty out. Very long texts and words take time in proportion to their length.
@@ -33,15 +33,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merge the neighbours of lowest rank until none is left: the definition, used for short strings only."""
+def merged(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]:
+    """Merge the neighbours of lowest rank until none is left, or ``least`` parts are."""
     parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > least:
         rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
         if rank == 1 << 60:
             break
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    return parts
+
+
+def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of the parts that merging leaves: the definition, used for short strings only."""
+    return [ranks[p] for p in merged(piece, ranks)]
+
+
+class _Kept(dict):
+    """Makes what it does not hold."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        return self.make(key)
 
 
 class Codec:
@@ -51,7 +66,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = _Kept(self._new)
         self.pairs: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
 
@@ -78,18 +93,65 @@ class Codec:
         """Tokens that merging itself can make; any other token only stands for a whole piece."""
         found = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
-            if len(token) == 1 or merge_by_rank(token, self.ranks) == [rank]:
-                found.add_word(token.decode("latin-1"), (rank, len(token)))
-        found.make_automaton()
+            if len(token) == 1 or (merge_by_rank(token, self.ranks) == [rank] if self.halves is None else self.halves[0][rank] != rank):
+                found.add_word(token.decode("latin-1"), rank)
         return found
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.ranks), default=0)
+
+    def token_at(self, text: str, at: int) -> int:
+        """The longest token at this place, or -1: the trie tells how far it could reach."""
+        size = self.automaton.longest_prefix(text[at:at + self.longest])
+        while size:
+            rank = self.automaton.get(text[at:at + size], -1)
+            if rank >= 0:
+                return rank
+            size -= 1
+        return -1
+
+    @cached_property
+    def halves(self) -> tuple[dict[int, int], dict[int, int], dict[int, int]] | None:
+        """Left and right token of the last merge of each token (itself if merging can't make it), and the token of two halves.
+
+        None where a token comes from one of higher rank: merges do not go by rising rank then.
+        """
+        first, last, joint = {}, {}, {}
+        for token, rank in self.ranks.items():
+            first[rank] = last[rank] = rank
+            parts = merged(token, self.ranks, 2) if len(token) > 1 else []
+            if len(parts) == 2:
+                left, right = (self.ranks.get(p, -1) for p in parts)
+                if left < 0 or right < 0 or any(len(p) > 1 and self.ranks[p] >= rank for p in parts):
+                    return None
+                first[rank], last[rank], joint[left << 32 | right] = left, right, rank
+        return first, last, joint
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the joint bytes of two tokens merge to just these two."""
         if len(self.pairs) >= self.KEPT_PAIRS:
             self.pairs.clear()
-        known = self.pairs[left << 32 | right] = merge_by_rank(self.token[left] + self.token[right], self.ranks) == [left, right]
+        known = self.pairs[left << 32 | right] = self._stay(left, right)
         return known
 
+    def _stay(self, left: int, right: int) -> bool:
+        """Takes merges back, the latest first: no two tokens that met at the border may have merged before one of them grew."""
+        if self.halves is None:
+            return merge_by_rank(self.token[left] + self.token[right], self.ranks) == [left, right]
+        first, last, joint = self.halves
+        before = 1 << 60
+        while True:
+            if joint.get(left << 32 | right, before) < before:
+                return False
+            a, b = last[left], first[right]
+            if a == left and b == right:
+                return True
+            if b == right or a != left and left > right:
+                left, before = a, left
+            else:
+                right, before = b, right + 1
+
     def next_shorter(self, rank: int) -> int:
         """The longest token that is a proper prefix, or -1."""
         known = self.shorter.get(rank)
@@ -99,7 +161,7 @@ class Codec:
             for size in range(len(token) - 1, 0, -1):
                 text = token[:size].decode("latin-1")
                 if self.automaton.exists(text):
-                    known = self.automaton.get(text)[0]
+                    known = self.automaton.get(text)
                     break
             self.shorter[rank] = known
         return known
@@ -108,14 +170,12 @@ class Codec:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        longest, sizes = [-1] * len(piece), [1] * len(piece)
-        for end, (rank, size) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - size + 1], sizes[end - size + 1] = rank, size  # a later end is a longer token
+        text, token_at = piece.decode("latin-1"), self.token_at
         out: list[int] = []
         token, known, may_follow, next_shorter = self.token, self.pairs.get, self.may_follow, self.next_shorter
         dead: set[int] = set()
-        at, rank, last = 0, longest[0], len(piece)
-        end = sizes[0]
+        at, rank, last = 0, token_at(text, 0) if piece else -1, len(piece)
+        end = len(token[rank]) if rank >= 0 else 0
         while True:
             while rank >= 0:
                 if end not in dead:
@@ -132,8 +192,9 @@ class Codec:
                 out.append(rank)
                 if end == last:
                     return tuple(out)
-                at, rank = end, longest[end]
-                end += sizes[at]
+                at, rank = end, token_at(text, end)
+                if rank >= 0:
+                    end += len(token[rank])
             else:
                 if not out:
                     return tuple(merge_by_rank(piece, self.ranks))  # a vocabulary without all bytes
@@ -144,7 +205,7 @@ class Codec:
                 end = at + len(token[rank]) if rank >= 0 else at
 
     def _new(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece) or self.encode_piece(piece.encode())
+        ids = self.encode_piece(piece.encode())
         if len(piece) <= 64:
             if len(self.pieces) >= self.KEPT_PIECES:
                 self.pieces.clear()
@@ -152,11 +213,7 @@ class Codec:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            found = [self._new(piece) if ids is None else ids for piece, ids in zip(pieces, found)]
-        return list(chain.from_iterable(found))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def written(self, ids) -> str:
         """Decimal ids joined by commas."""
