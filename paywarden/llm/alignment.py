@@ -38,6 +38,8 @@ TOGETHER = 200_000
 FREQUENT = 100_000
 #: Longer words are left to the library of the file.
 LONG_WORD = 500
+#: So many tokens of a stretch are compared one by one.
+NEAR = 16
 #: Output leaves in batches of about so many tokens.
 TOKENS = 500_000
 
@@ -158,9 +160,12 @@ def stretches(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[in
     n, m = len(a), len(b)
     while i < n:
         x, y = a[i], b[j]
-        if x == y:  # one to one at this shift: double the stretch while it is equal, then halve
-            run = step = 1
-            while (size := min(step, n - i - run, m - j - run)) > 0:
+        if x == y:  # one to one at this shift: after a few tokens, double the stretch while it is equal, then halve
+            run, near = 1, min(NEAR, n - i, m - j)
+            while run < near and a[i + run] == b[j + run]:
+                run += 1
+            step = run
+            while run >= NEAR and (size := min(step, n - i - run, m - j - run)) > 0:
                 p, q = i + run, j + run
                 if a[p:p + size] == b[q:q + size]:
                     run += size
