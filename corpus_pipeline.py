@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paywarden.llm import bpe, decontaminate, minhash, secret_scan, toxicity
 from paywarden.llm.queries import VOCABULARY, table
-from paywarden.llm.shared import stored
+from paywarden.llm.shared import small_batches, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.without_copies(docs)
 
 
@@ -28,10 +30,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secret_scan.without_secrets(docs, secret_scan.learn(secret_scan.known(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paywarden.llm import (
     alignment, bpe, conversations, decontaminate, html_text, licenses, minhash, pivots, quality, secret_scan, super_kmers, toxicity, url_rules)
+from paywarden.llm.shared import small_batches
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +24,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     scores = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -59,10 +61,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, threshold=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     found = secret_scan.scanned(docs, secret_scan.learn(secret_scan.known(docs)))
 
@@ -78,6 +82,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paywarden.session import work_dir
@@ -30,6 +30,20 @@ def in_hand(batches):
             yield batch.slice(k, rows)
 
 
+#: What limits the bytes of a batch of rows on its way to a worker.
+BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python workers in batches of a few megabytes (a longer row alone), unless it has a limit of its own.
+
+    Spark's 64 MB are made by doubling, in memory beside the heap and in each task, and lie in the worker whole. Queries are run after
+    they are returned, so the setting stays; it changes no result.
+    """
+    if spark.conf.get(BATCH_BYTES_KEY, None) is None:
+        spark.conf.set(BATCH_BYTES_KEY, str(IN_HAND))
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written once below the cluster's shared folder and read again; this cuts the lineage."""
     path = work_dir(df.sparkSession, purpose)
