@@ -40,8 +40,8 @@ PIVOTS, BLOCK, LISTED, PROBES = 1024, 512, 512, 3
 MISSED, TABLES = 0.005, 32
 #: Vectors in the sample, at most so many and so many bytes; vectors of the sample that make a centre.
 SAMPLE, SAMPLE_BYTES, HEAVY = 8192, 32 << 20, 6
-#: Rows that are on the way at once without a further cut; numbers of a product held at once.
-AT_ONCE, CELLS = 500_000, 1 << 21
+#: Bytes of vectors that are on the way at once without a further cut; numbers of a product held at once.
+AT_ONCE, CELLS = 128 << 20, 1 << 21
 #: What the angles of large groups are short of, for rounding.
 SLACK = 1e-7
 
@@ -178,7 +178,7 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     """The vectors of a column of bytes without nulls, all of one length."""
     if not len(column):
         return np.empty((0, 0), kind)
-    limits = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    limits = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2][int(limits[0]):int(limits[-1])], kind).reshape(len(column), -1)
 
 
@@ -357,6 +357,9 @@ def _linker(threshold: float, kind: str, strides: dict[int, int] | None):
 
 LINKS = "a bigint, b bigint, n bigint"
 
+#: Whether the files of a query's shuffles are removed when it ends.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def _linked(rows: DataFrame, link) -> DataFrame:
     return stored(rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(link, LINKS), "links")
@@ -377,16 +380,15 @@ def _drawn(vectors: DataFrame, count: int, most: int) -> pa.Array:
 @contextmanager
 def _shuffles_end(spark: SparkSession):
     """What a query inside has shuffled is removed from the disk as soon as it ends, not when the driver's memory happens to be cleaned."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    was = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
     try:
         yield
     finally:
-        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+        spark.conf.unset(CLEANUP_KEY) if was is None else spark.conf.set(CLEANUP_KEY, was)
 
 
-def _in_lists(described: DataFrame, indexes: dict[int, Index], threshold: float, kind: str, block: int, count: int) -> list[DataFrame]:
+def _in_lists(described: DataFrame, indexes: dict[int, Index], threshold: float, kind: str, block: int, nbytes: int) -> list[DataFrame]:
     """The links of pairs that share a list."""
     key = F.shiftleft(F.col("length").cast("bigint"), 32)
     free = described.filter(F.size("lists") > 0)
@@ -395,8 +397,8 @@ def _in_lists(described: DataFrame, indexes: dict[int, Index], threshold: float,
         "list", F.ceil(F.col("rows") / block).cast("int").alias("parts")), "long")
     cut = not long.isEmpty()
     # One table at a time and of a large one a share of the lists; or several tables of a small one.
-    shares = _shares(count)
-    together = max(1, AT_ONCE // (PROBES * max(1, count)))
+    shares = _shares(nbytes)
+    together = max(1, AT_ONCE // (PROBES * nbytes))
     tables, out = max(len(i.tables) for i in indexes.values()), []
     link = _linker(threshold, kind, {length: i.stride for length, i in indexes.items()})
     for first in range(0, tables, together):
@@ -417,12 +419,12 @@ def _in_lists(described: DataFrame, indexes: dict[int, Index], threshold: float,
     return out
 
 
-def _shares(count: int) -> int:
-    """In how many shares the lists are worked off."""
-    return 1 if PROBES * count <= AT_ONCE else PROBES
+def _shares(nbytes: int) -> int:
+    """In how many shares the lists are worked off, for so many bytes of vectors."""
+    return 1 if PROBES * nbytes <= AT_ONCE else PROBES
 
 
-def _at_centres(described: DataFrame, threshold: float, kind: str, block: int, count: int) -> list[DataFrame]:
+def _at_centres(described: DataFrame, threshold: float, kind: str, block: int, nbytes: int) -> list[DataFrame]:
     """The links of vectors that have a centre: with each other by number alone, and with those that visit it."""
     core = described.filter("home >= 0")
     groups = stored(core.groupBy("home").agg(F.min("node").alias("least"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("rows")), "centres")
@@ -435,7 +437,7 @@ def _at_centres(described: DataFrame, threshold: float, kind: str, block: int, c
         "centre", F.ceil(F.col("rows") / block).cast("int").alias("parts"), F.ceil(F.col("visits") / block).cast("int").alias("visits")), "visited")
     if visited.isEmpty():
         return out
-    key, shares = F.shiftleft(F.col("length").cast("bigint"), 32) + F.col("centre"), _shares(count)
+    key, shares = F.shiftleft(F.col("length").cast("bigint"), 32) + F.col("centre"), _shares(nbytes)
 
     def met(rows: DataFrame, side: int, share: int) -> DataFrame:
         own, others = ("parts", "visits") if side == 0 else ("visits", "parts")
@@ -477,11 +479,11 @@ def _near_vectors(vectors: DataFrame, threshold: float, pivots: int, block: int)
         F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"), F.first("length").alias("length"), F.first("vec").alias("vec"))
     described = classes.mapInArrow(_describer(indexes, kind), "x bigint, y bigint, vec_id bigint, size bigint, length int, vec binary, home int, near array<int>, lists array<int>")
     described = stored(described.withColumn("node", F.monotonically_increasing_id()), "described")
-    total = sum(count.values())
-    block = max(block, min(16384, total // 64))
-    links = _in_lists(described, indexes, threshold, kind, block, total)
+    block = max(block, min(16384, sum(count.values()) // 64))
+    nbytes = sum(length * n for length, n in count.items()) * np.dtype(kind).itemsize
+    links = _in_lists(described, indexes, threshold, kind, block, nbytes)
     if first:
-        links += _at_centres(described, threshold, kind, block, total)
+        links += _at_centres(described, threshold, kind, block, nbytes)
     found = links[0]
     for more in links[1:]:
         found = found.union(more)

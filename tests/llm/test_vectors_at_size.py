@@ -71,7 +71,7 @@ def test_the_disk_holds_a_few_copies_of_the_vectors(spark, monkeypatch, tmp_path
         end.set()
         thread.join()
     assert most[0] < 4 * values.nbytes
-    assert found.count() == rows and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert found.count() == rows and spark.conf.get(pivots.CLEANUP_KEY) == "false"
 
 
 @pytest.mark.parametrize("block", [16, 512])
